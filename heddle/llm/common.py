@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -34,6 +36,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's source to the executors, once for each application.
+
+    Executors then need no installed copy, and Python workers can keep what they have built, such as an
+    automaton, in module-level caches.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    target = os.path.join(tempfile.mkdtemp(), "heddle_source.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "heddle")):
+            for name in names:
+                if name.endswith(".py"):
+                    z.write(path := os.path.join(folder, name), os.path.relpath(path, root))
+    context.addPyFile(target)
+    _shipped.add(context.applicationId)
+
+
 def crc_bucket(key: Column | str, modulus: int) -> Column:
     """crc32 of the key as text, modulo a number; null for a null key."""
     key = F.col(key) if isinstance(key, str) else key
@@ -72,6 +97,7 @@ def map_texts(
     clash = {k.lower() for k in keep} & {n.lower() for n, _ in fields}
     if clash:
         raise ValueError(f"kept columns clash with results: {sorted(clash)}")
+    ship(df.sparkSession)
     inner = [f"_k{i}" for i in range(len(keep))]
     source = df.select(*[F.col(f"`{k}`").alias(i) for k, i in zip(keep, inner)], F.col(f"`{text}`").cast("binary").alias("_t"))
     kept = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keep])
