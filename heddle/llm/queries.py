@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, decontaminate, langid, linededup, simhash
 
 QUERIES = {
+    "op2_simhash": simhash.op2_simhash,
+    "op3_decontamination": decontaminate.op3_decontamination,
+    "op4_language_id": langid.op4_language_id,
+    "op7_line_dedup": linededup.op7_line_dedup,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
