@@ -1,23 +1,60 @@
-"""The corpus pipeline: its stages and their run."""
+"""The corpus pipeline: language ID, line dedup, near-duplicate removal, decontamination, encoding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's result as
+Parquet in the shared folder and reads it again as the next stage's documents.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from heddle.llm import bpe
+from heddle.llm import bpe, decontaminate, langid, linededup, simhash
 from heddle.llm.common import read_table
 
 
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(docs, ["doc_id"], with_ids=False)
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised. Those without text or letters, or below the calibrated score, go."""
+    return langid.keep_known(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the later copies of repeated line runs; n_chars follows the text. Documents with no line left go."""
+    left = linededup.dedupe_lines(docs).where(F.col("n_deleted") < F.col("n_lines"))
+    return left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near duplicates."""
+    return simhash.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    return decontaminate.keep_clean(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, ids_sha256, decoded_sha256 of every document left."""
+    return bpe.encode_documents(docs, ["doc_id"])
+
 
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("byte_bpe", byte_bpe)]
 
-STAGES = [("tokens", tokens)]
+#: SQL can express neither the trained classifier of the first stage nor what depends on it.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="heddle-pipeline-")
+    folder = f"{shared}/corpus-pipeline-{uuid.uuid4().hex}"
     docs = read_table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for i, (name, stage) in enumerate(STAGES):
+        out = f"{folder}/{i}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(out)
+        docs = spark.read.parquet(out)
     return docs

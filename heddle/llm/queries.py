@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, linededup, simhash
+from . import bpe, decontaminate, fingerprint, langid, licenses, linededup, lm, packing, shards, simhash
 
 QUERIES = {
+    "op1_fingerprints": fingerprint.op1_fingerprints,
     "op2_simhash": simhash.op2_simhash,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_language_id": langid.op4_language_id,
+    "op5_packing": packing.op5_packing,
+    "op6_license_scan": licenses.op6_license_scan,
     "op7_line_dedup": linededup.op7_line_dedup,
+    "op8_lm_scores": lm.op8_lm_scores,
+    "op9_sharding": shards.op9_sharding,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
