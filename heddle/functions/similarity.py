@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..runtime import ship
 
 #: Prefix characters that count, their weight, and the Jaro similarity from which they count.
 PREFIX, WEIGHT, BOOST = 4, 0.1, 0.7
@@ -52,17 +55,18 @@ def jaro_winkler_values(left: list[str], right: list[str]) -> np.ndarray:
     return np.where(jaro > BOOST, jaro + common * WEIGHT * (1 - jaro), jaro)
 
 
-@F.pandas_udf("double")
-def _jaro_winkler(left: pd.Series, right: pd.Series) -> pd.Series:
+def _similarities(left: pd.Series, right: pd.Series) -> pd.Series:
     known = (left.notna() & right.notna()).to_numpy()
-    out = np.full(len(left), np.nan)
+    out = pd.Series(np.nan, index=left.index, dtype="Float64")
+    out[~known] = pd.NA
     out[known] = jaro_winkler_values(left[known].tolist(), right[known].tolist())
-    return pd.Series(np.where(known, out, None), dtype="object").astype("Float64")
+    return out
 
 
 def jaro_winkler(left: Column, right: Column) -> Column:
-    """Null if either is null. For many pairs use with_similarity, which compares distinct values once."""
-    return _jaro_winkler(left, right)
+    """Null if either is null. Where few different pairs recur, with_similarity compares each once."""
+    ship(SparkSession.active())
+    return F.pandas_udf(_similarities, T.DoubleType())(left, right)
 
 
 def with_similarity(pairs: DataFrame, left: str, right: str, name: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,21 +55,34 @@ def reverse_soundex(text: Column) -> Column:
     return soundex_key(F.reverse(text))
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is computed once, however often it is named."""
+    return F.transform(F.array(value), then)[0]
+
+
 def nysiis(text: Column) -> Column:
     """The NYSIIS code, as an expression; null for null, empty for empty.
 
     What a letter becomes depends on its neighbours in the name alone, so letters are mapped first and
     repeats are dropped afterwards.
     """
-    u = F.upper(text)
+    return F.when(text.isNotNull(), _let(_let(_let(F.upper(text), _begin), _end), _code))
+
+
+def _begin(u: Column) -> Column:
     begins = lambda *heads: F.rlike(u, F.lit(f"^({'|'.join(heads)})"))
     after = lambda put, n: F.concat(F.lit(put), F.substr(u, F.lit(n + 1)))
-    s = (
+    return (
         F.when(begins("MAC"), after("MCC", 3)).when(begins("KN"), after("", 1)).when(begins("K"), after("C", 1))
         .when(begins("PH", "PF"), after("FF", 2)).when(begins("SCH"), after("SSS", 3)).otherwise(u)
     )
-    s = F.when(F.rlike(s, F.lit("(IE|EE)$")), F.regexp_replace(s, "(IE|EE)$", "Y")).otherwise(F.regexp_replace(s, "(DT|RT|RD|NT|ND)$", "D"))
 
+
+def _end(s: Column) -> Column:
+    return F.when(F.rlike(s, F.lit("(IE|EE)$")), F.regexp_replace(s, "(IE|EE)$", "Y")).otherwise(F.regexp_replace(s, "(DT|RT|RD|NT|ND)$", "D"))
+
+
+def _code(s: Column) -> Column:
     def coded(i: Column) -> Column:
         c, before, behind = F.substr(s, i, F.lit(1)), F.substr(s, i - 1, F.lit(1)), F.substr(s, i + 1, F.lit(1))
         vowel = lambda x: x.isin("A", "E", "I", "O", "U")
@@ -97,9 +110,13 @@ def nysiis(text: Column) -> Column:
 
     letters = F.when(F.char_length(s) > 1, F.transform(F.sequence(F.lit(2), F.char_length(s)), coded)).otherwise(F.array().cast("array<string>"))
     key = F.aggregate(letters, F.substr(s, F.lit(1), F.lit(1)), lambda k, c: F.when((c == "") | (F.right(c, F.lit(1)) == F.right(k, F.lit(1))), k).otherwise(F.concat(k, c)))
-    key = F.when(key == "S", key).otherwise(F.regexp_replace(key, "S$", ""))
-    key = F.regexp_replace(key, "AY$", "Y")
-    return F.when(key == "A", key).otherwise(F.regexp_replace(key, "A$", ""))
+    return _let(key, _trim)
+
+
+def _trim(key: Column) -> Column:
+    no_s = lambda k: F.when(k == "S", k).otherwise(F.regexp_replace(k, "S$", ""))
+    no_a = lambda k: F.when(k == "A", k).otherwise(F.regexp_replace(k, "A$", ""))
+    return _let(F.regexp_replace(no_s(key), "AY$", "Y"), no_a)
 
 
 def initial_cut(name: Column) -> Column:

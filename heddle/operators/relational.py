@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the cluster's shared checkpoint folder; a temporary one only where none is set."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="heddle-checkpoints-"))
-    return df.checkpoint(eager=True)
+from ..runtime import cut
 
 
 # Identity
@@ -146,10 +139,12 @@ def latest_row(df: DataFrame, by: Sequence[str], at: Column, tie: str, latest: b
     """
     rest = [c for c in df.columns if c not in (*by, tie)]
     row = F.struct(*[F.col(c) for c in (tie, *rest)])
-    if latest:
-        tops = df.groupBy(*by).agg(F.max_by(row, F.struct(at.alias("a"), (-F.col(tie)).alias("t"))).alias("_row"))
-    else:
-        tops = df.groupBy(*by).agg(F.min_by(row, F.struct(at.alias("a"), F.col(tie).alias("t"))).alias("_row"))
+    kind = df.select(at.alias("at")).schema[0].dataType.simpleString()
+    local = lambda c: F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c)
+    number = {"date": F.unix_date, "timestamp": F.unix_micros, "timestamp_ntz": local}.get(kind, lambda c: c)(at)
+    # Undated rows come after dated ones either way.
+    order = F.struct(at.isNull().alias("n"), (-number if latest else number).alias("a"), F.col(tie).alias("t"))
+    tops = df.groupBy(*by).agg(F.min_by(row, order).alias("_row"))
     return tops.select(*[F.col(c) if c in by else F.col(f"_row.{c}") for c in df.columns])
 
 

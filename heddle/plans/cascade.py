@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.relational import check_disjoint, concat, cut, except_keys, unique_list
+from ..operators.relational import check_disjoint, concat, except_keys, unique_list
+from ..runtime import cut
 from .model import Model, blocking_join, count_blocked_pairs, score
 from .prep import NOT_SWITCHED, switch_names
 
