@@ -148,7 +148,7 @@ NOTHING = hashlib.sha256(b"").hexdigest()
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document against every benchmark item."""
-    return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), ["doc_id"]).drop("spans")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:

@@ -108,4 +108,4 @@ def license_scan(
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document against all phrases and templates."""
-    return license_scan(read_table(spark, sf_dir, "documents"), ["doc_id"])
+    return license_scan(read_table(spark, sf_dir, "documents"), ["doc_id"]).drop("spans")

@@ -138,5 +138,7 @@ def dedupe_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_w
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, each with what is left of its text."""
-    return dedupe_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """All documents, each with what is left of its text; deleted_runs lists first-last line numbers."""
+    out = dedupe_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    runs = F.array_join(F.transform("deleted_runs", lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"))), ",")
+    return out.select("doc_id", "n_lines", "n_deleted", runs.alias("deleted_runs"), "text")

@@ -145,7 +145,7 @@ def test_components(spark):
 
 
 def test_decontamination(spark, docs):
-    got = {r.doc_id: r for r in decontaminate.op3_decontamination(spark, D).collect()}
+    got = {r.doc_id: r for r in decontaminate.contamination(spark.read.parquet(f"{D}/documents.parquet"), spark.read.parquet(f"{D}/benchmark.parquet"), ["doc_id"]).collect()}
     items = {}
     for r in spark.read.parquet(f"{D}/benchmark.parquet").collect():
         w = words(ALNUM, r.text)
