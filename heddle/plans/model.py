@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from statistics import median
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.similarity import jaro_winkler
@@ -55,6 +55,12 @@ class Model:
         keep = set(columns)
         return Model(tuple(c for c in self.comparisons if c.column in keep), self.m, self.u, self.prior, self.notes)
 
+    def parameters(self, spark: SparkSession) -> DataFrame:
+        """(comparison, level, m, u, weight): what a chart of the model would show; weight is log2 m/u."""
+        rows = [(c.column, k, self.m[c.column][k], self.u[c.column][k]) for c in self.comparisons for k in c.levels]
+        table = spark.createDataFrame(rows, "comparison string, level int, m double, u double")
+        return table.withColumn("weight", F.log2(F.col("m") / F.col("u")))
+
     def as_dict(self) -> dict:
         plain = lambda x: {c: {str(k): v for k, v in d.items()} for c, d in x.items()}
         return {"comparisons": [[c.column, c.kind, c.threshold] for c in self.comparisons], "m": plain(self.m), "u": plain(self.u), "prior": self.prior}
