@@ -192,8 +192,8 @@ def _codec(data: bytes, pattern: str) -> BytePairCodec:
     return BytePairCodec(parse_ranks(data), pattern)
 
 
-def codec_factory(spark: SparkSession, vocabulary: str | None = None, pattern: str | None = None):
-    """A function that executors call for the codec.
+def shared_codec(spark: SparkSession, vocabulary: str | None = None, pattern: str | None = None):
+    """A function that executors call for the codec, the broadcast vocabulary file and the pattern.
 
     The vocabulary file is read on the driver and broadcast, so executors need no copy; its size is
     that of the file, which doesn't depend on the corpus.
@@ -201,7 +201,7 @@ def codec_factory(spark: SparkSession, vocabulary: str | None = None, pattern: s
     with open(vocabulary or public_tokenizers.path(VOCABULARY), "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
     pattern = pattern or public_tokenizers.PATTERN
-    return lambda: _codec(shared.value, pattern)
+    return (lambda: _codec(shared.value, pattern)), shared, pattern
 
 
 def encode_documents(docs: DataFrame, keep: list[str], text: str = "text", vocabulary: str | None = None, pattern: str | None = None, with_ids: bool = True) -> DataFrame:
@@ -210,7 +210,7 @@ def encode_documents(docs: DataFrame, keep: list[str], text: str = "text", vocab
     A null text counts as empty: no ids, the hashes of no bytes. Texts of any length are encoded whole.
     Repeated rows give repeated results; other columns may have any name.
     """
-    codec = codec_factory(docs.sparkSession, vocabulary, pattern)
+    codec, _, _ = shared_codec(docs.sparkSession, vocabulary, pattern)
 
     def make():
         c = codec()
