@@ -56,11 +56,11 @@ def dob_split(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 with t as (select o_orderkey, case when o_orderkey % 7 = 0 then strftime(o_orderdate, '%Y%m') || '31' when o_orderkey % 11 = 0 then 'bad' else strftime(o_orderdate, '%Y%m%d') end as s from orders)
-select o_orderkey, cast(try_strptime(s, '%Y%m%d') as date) as parsed from t""")
+select o_orderkey, cast(cast(try_strptime(s, '%Y%m%d') as date) as varchar) as parsed from t""")
 def date_parse(spark: SparkSession, d: str) -> DataFrame:
     month = F.date_format("o_orderdate", "yyyyMM")
     s = F.when(F.col("o_orderkey") % 7 == 0, F.concat(month, F.lit("31"))).when(F.col("o_orderkey") % 11 == 0, "bad").otherwise(F.date_format("o_orderdate", "yyyyMMdd"))
-    return table(spark, d, "orders").select("o_orderkey", parse_date(s, "yyyyMMdd").alias("parsed"))
+    return table(spark, d, "orders").select("o_orderkey", parse_date(s, "yyyyMMdd").cast("string").alias("parsed"))
 
 
 @query(f"""

@@ -93,7 +93,7 @@ def repeated_keys(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 select o_custkey, count(*) as n, count(distinct o_orderpriority) as priorities, max(o_totalprice) as top, bool_or(o_orderstatus = 'F') as any_f,
-sum(case when o_orderstatus = 'F' then 1 else 0 end) as n_f from orders group by o_custkey having count(*) >= 3""")
+count(*) filter (o_orderstatus = 'F') as n_f from orders group by o_custkey having count(*) >= 3""")
 def group_statistics(spark: SparkSession, d: str) -> DataFrame:
     f = F.col("o_orderstatus") == "F"
     return R.group_agg(
@@ -119,7 +119,7 @@ def mean_and_size(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 with p as (select o_custkey, count(distinct o_orderpriority) as n from orders group by 1)
-select count(*) as n_groups, round(avg(n), 6) as mean_n, round(stddev_samp(n), 6) as sd_n, min(n) as min_n, max(n) as max_n, sum(case when n > 1 then 1 else 0 end) as n_collisions from p""")
+select count(*) as n_groups, round(avg(n), 6) as mean_n, round(stddev_samp(n), 6) as sd_n, min(n) as min_n, max(n) as max_n, count(*) filter (n > 1) as n_collisions from p""")
 def collision_describe(spark: SparkSession, d: str) -> DataFrame:
     p = R.group_agg(table(spark, d, "orders"), ["o_custkey"], F.count_distinct("o_orderpriority").alias("n"))
     return p.agg(F.count("*").alias("n_groups"), F.round(F.avg("n"), 6).alias("mean_n"), F.round(F.stddev_samp("n"), 6).alias("sd_n"), F.min("n").alias("min_n"), F.max("n").alias("max_n"), F.count_if(F.col("n") > 1).alias("n_collisions"))
