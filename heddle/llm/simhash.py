@@ -96,7 +96,8 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     named = distinct.join(members, "fp")
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     found = named.join(smallest, "component").select("fp", "component_id")
-    reps = distinct.join(found, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    # A table of its own, so that the last join reads two plain shuffles and a fingerprint with very many copies can be split.
+    reps = cut(distinct.join(found, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")))
     return prints.join(reps, "fp").select(key, "fp", "component_id")
 
 
