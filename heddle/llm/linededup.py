@@ -92,7 +92,8 @@ def later_copies(docs: DataFrame, key: str, text: str, min_words: int) -> DataFr
     named = wanted.join(first, [*ROW, "j", "pos"]).withColumn("at", F.col("pos") + F.col("m") - F.expr("shiftleft(1, j)"))
     named = cut(named.join(last, [*ROW, "j", "at"]).select(*ROW, "pos", "m", "r1", "r2"))
     place = F.struct("k", "t", "pos")
-    interval = named.groupBy("m", "r1", "r2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("m", "r1", "r2", "first")
+    # A table of its own, so that the join reads two plain shuffles and an interval with very many suffixes can be split.
+    interval = cut(named.groupBy("m", "r1", "r2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("m", "r1", "r2", "first"))
     later = named.join(interval, ["m", "r1", "r2"]).where(place > F.col("first")).select(*ROW, "pos", (F.col("pos") + F.col("m") - 1).alias("end"))
     row = Window.partitionBy(*ROW).orderBy("pos", "end")
     before = row.rowsBetween(Window.unboundedPreceding, -1)
