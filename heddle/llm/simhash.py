@@ -64,7 +64,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, parts: int = PARTS, paired:
         raise ValueError("whole balls are built for a radius of 4 at most")
     bits = 64 // parts
     low = F.lit(_signed((1 << bits) - 1))
-    balls = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(m).cast("bigint").alias("m")) for p in range(parts) for m in _masks(bits, -(-(radius // parts) // 2))])
+    balls = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(_signed(m)).cast("bigint").alias("m")) for p in range(parts) for m in _masks(bits, -(-(radius // parts) // 2))])
     variant = F.expr(f"shiftrightunsigned(fp, v.p * {bits})").bitwiseAND(low).bitwiseXOR(F.col("v.m"))
     emitted = distinct.select("fp", F.explode(balls).alias("v")).select("fp", F.col("v.p").alias("part"), variant.alias("variant"))
     shared = cut(emitted.withColumn("n", F.count("*").over(Window.partitionBy("part", "variant"))).where("n > 1"))

@@ -360,3 +360,13 @@ def test_pipeline(spark, docs):
     left = {k: x for k, x in rows.items() if group[k] == k and clean(words(ALNUM, x))}
     assert {k: r.decoded_sha256 for k, r in got.items()} == {k: hashlib.sha256(x.encode()).hexdigest() for k, x in left.items()}
     assert len(left) < len(docs)
+
+
+def test_whole_balls_alone(spark):
+    """Without parts every fingerprint emits its whole ball; the links are the same."""
+    rnd = random.Random(8)
+    prints = {rnd.getrandbits(62) for _ in range(20)}
+    prints |= {p ^ sum(1 << b for b in rnd.sample(range(62), rnd.randint(1, 5))) for p in list(prints)}
+    df = spark.createDataFrame([(x,) for x in prints], "fp long")
+    whole = {tuple(r) for r in simhash.links(df, parts=1).collect()}
+    assert whole == {(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 4}
