@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from .common import read_table
 
 SHINGLE = 3
-#: Buckets of consecutive keys for each shuffle partition: small enough that a bucket's window stays in memory.
-BUCKETS = 4
+#: Buckets of consecutive keys for each shuffle partition, small enough that a bucket's window stays in memory,
+#: and the most of them: their bounds stand in the plan. Beyond it buckets grow, and windows spill.
+BUCKETS, MOST_BUCKETS = 4, 50_000
 #: Two 32-bit lanes in a 64-bit integer.
 LANE = 0xFFFFFFFF
 BOTH = 1 | 1 << 32
@@ -90,8 +91,8 @@ def _buckets(docs: DataFrame) -> DataFrame:
     shuffle partition, whatever the number of rows.
     """
     spark = docs.sparkSession
-    n = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 100 * n)).first()[0] or []
+    n = max(2, min(MOST_BUCKETS, BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    cuts = docs.agg(F.percentile_approx("k", [i / n for i in range(1, n)], max(10_000, 20 * n))).first()[0] or []
     cuts = sorted(set(cuts))
     wide = max(1, math.isqrt(len(cuts)))
     parts = [cuts[i : i + wide] for i in range(0, len(cuts), wide)]
