@@ -52,9 +52,18 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="heddle-pipeline-")
     folder = f"{shared}/corpus-pipeline-{uuid.uuid4().hex}"
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
         out = f"{folder}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if before:
+            _delete(spark, before)
+        before = out
     return docs
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Removes a stage's result once the next one's is written, in whatever file system it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

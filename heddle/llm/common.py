@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -12,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import cut, ship
+
+__all__ = ["LOWER", "UPPER", "alnum_words", "ascii_lower", "crc_bucket", "cut", "map_texts", "read_table", "ship", "space_words"]
+
 #: ASCII upper-case letters and their lower-case forms.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -23,42 +24,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the cluster's shared folder.
-
-    The folder is the one the session names in spark.checkpoint.dir; only where that is unset,
-    as in tests, a temporary one is set.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="heddle-checkpoints-"))
-    return df.checkpoint(eager=True)
-
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package's source to the executors, once for each application.
-
-    Executors then need no installed copy, and Python workers can keep what they have built, such as an
-    automaton, in module-level caches.
-    """
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    target = os.path.join(tempfile.mkdtemp(), "heddle_source.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for folder, _, names in os.walk(os.path.join(root, "heddle")):
-            for name in names:
-                if name.endswith(".py"):
-                    z.write(path := os.path.join(folder, name), os.path.relpath(path, root))
-    context.addPyFile(target)
-    _shipped.add(context.applicationId)
-
-
 def crc_bucket(key: Column | str, modulus: int) -> Column:
     """crc32 of the key as text, modulo a number; null for a null key."""
     key = F.col(key) if isinstance(key, str) else key
@@ -99,7 +64,10 @@ def map_texts(
         raise ValueError(f"kept columns clash with results: {sorted(clash)}")
     ship(df.sparkSession)
     inner = [f"_k{i}" for i in range(len(keep))]
-    source = df.select(*[F.col(f"`{k}`").alias(i) for k, i in zip(keep, inner)], F.col(f"`{text}`").cast("binary").alias("_t"))
+    columns = [F.col(f"`{k}`").alias(i) for k, i in zip(keep, inner)]
+    # A text that is kept anyway crosses to Python once; its bytes are read in place.
+    at = list(keep).index(text) if text in keep and df.schema[text].dataType == T.StringType() else len(keep)
+    source = df.select(*columns, *([F.col(f"`{text}`").cast("binary").alias("_t")] if at == len(keep) else []))
     kept = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keep])
     schema = T.StructType(kept.fields + [T.StructField(n, t) for n, t in fields])
 
@@ -109,7 +77,9 @@ def map_texts(
         each, kinds = make(), [to_arrow_type(t) for _, t in fields]
         for batch in batches:
             n = len(keep)
-            rows = [each(x.as_py()) for x in batch.column(n)]
+            texts = batch.column(at)
+            texts = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()) if at < n else texts
+            rows = [each(x.as_py()) for x in texts]
             made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], names=[f.name for f in schema.fields])
 

@@ -154,6 +154,6 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows, in their own columns, that hold no window of an item."""
     names = [f"c{i}" for i in range(len(docs.columns))]
-    own = docs.toDF(*names).withColumn("t", F.col(names[docs.columns.index(text)]))
-    found = contamination(own, benchmark, names, "t")
+    own = docs.toDF(*names)
+    found = contamination(own, benchmark, names, names[docs.columns.index(text)])
     return found.where(~F.col("contaminated")).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])

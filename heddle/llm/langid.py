@@ -224,6 +224,6 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_known(docs: DataFrame) -> DataFrame:
     """The rows, in their own columns, whose language is not rejected."""
     names = [f"c{i}" for i in range(len(docs.columns))]
-    own = docs.toDF(*names).withColumn("t", F.col(names[docs.columns.index("text")]))
-    found = predict(own, _learn(docs), names, "t")
+    own = docs.toDF(*names)
+    found = predict(own, _learn(docs), names, names[docs.columns.index("text")])
     return found.where(~F.col("rejected")).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
