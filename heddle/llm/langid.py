@@ -98,7 +98,9 @@ def _sample(labelled: DataFrame, key: str, text: str, lang: str, rows: int) -> l
     """
     order = F.xxhash64(F.col(f"`{key}`").cast("string"), F.col(f"`{text}`"))
     chosen = labelled.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"), order.alias("o"))
-    chosen = chosen.orderBy("o", "lang").limit(rows)
+    # The hashes alone are sorted first, so that texts beyond the sample never leave their tasks.
+    last = chosen.select("o").orderBy("o").limit(rows).agg(F.max("o")).first()[0]
+    chosen = chosen.where(F.col("o") <= F.lit(last).cast("bigint")).orderBy("o", "lang").limit(rows)
 
     def make():
         def each(data: bytes | None) -> tuple:
