@@ -1,34 +1,39 @@
 """Operator 8: language-model scoring with a weighted backoff automaton.
 
-Unigram counts cover the whole training text. N-grams of higher order are kept over frequent words and
-at a fixed share of the corpus, so their number has a bound that no corpus exceeds: at most 1/share of
-each order. Their states have an arc for each kept continuation, with its interpolated probability,
-and a failure arc with the backoff weight to the state of the next shorter history. One left-to-right
-traversal of a text carries the state and adds up log-probabilities.
-
-Words have no such bound. So no executor holds them all: documents are dealt into blocks of bounded
-size, each block asks for the counts of its own distinct words, and a join answers.
+Unigram counts cover the whole training text, and n-grams of higher order are kept over all words from
+a fixed count. A state is a history with kept continuations: it has an arc for each of them, with its
+interpolated probability, and a failure arc with the backoff weight to the state of the next shorter
+history. The state before a token is the longest such history of the tokens before it, so a block's
+tokens are all traversed at once, in arrays.
+
+Neither words nor n-grams have a bound. So no executor holds them all: documents are dealt into blocks
+of bounded size, each block asks for the counts of its own distinct words and n-grams, and joins answer.
+An n-gram is asked for only where both n-grams of the next lower order that it holds are kept, since
+otherwise it can't reach the count either.
 """
 
 from __future__ import annotations
 
 import math
+import tempfile
+import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import crc_bucket, cut, read_table, ship, space_words
 
 ORDER = 3
-#: Words that n-grams are made of have at least this share of the training tokens; n-grams have at least the other.
-WORD_SHARE, GRAM_SHARE = 1 / 1024, 1 / 131_072
+#: Places in the training text from which an n-gram is kept.
+LEAST = 2
 DISCOUNT = 0.75
-#: UTF-8 bytes of documents in a block, and distinct n-grams counted before they are passed on.
+#: UTF-8 bytes of documents in a block, and distinct words counted before they are passed on.
 BLOCK_BYTES, PENDING = 16 << 20, 400_000
 #: The end token; no word holds a white space.
 END = b"\n"
@@ -69,7 +74,9 @@ class Automaton:
 
 
 def build(words: list[tuple[bytes, int]], grams: dict[tuple[int, ...], int], tokens: int, vocabulary: int, discount: float = DISCOUNT) -> Automaton:
-    """The automaton of frequent words (word, count) and kept n-grams of their numbers, with absolute discounting.
+    """The automaton of words (word, count) and kept n-grams of their numbers, with absolute discounting.
+
+    It is held whole, for small corpora; the operator has the same arcs and weights in a block's arrays.
 
     P(w | h) = max(c(hw) - D, 0) / c(h) + (1 - sum over kept w' of max(c(hw') - D, 0) / c(h)) P(w | shorter h),
     and without history the add-one unigram; so every state's probabilities sum to 1.
@@ -139,40 +146,72 @@ def _count_words(docs: DataFrame) -> DataFrame:
     return docs.select("body").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _count_grams(docs: DataFrame, words: list[bytes], order: int) -> DataFrame:
-    """(gram, n): n-grams of orders 2 to `order` over the given words, as little-endian 16-bit numbers."""
-    shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, found = shared.value.get, {n: Counter() for n in range(2, order + 1)}
-
-        def give() -> Iterator[pa.RecordBatch]:
-            for n, counts in found.items():
-                if counts:
-                    keys = np.array(list(counts), np.int64)
-                    grams = np.stack([keys >> 16 * (n - 1 - k) & 0xFFFF for k in range(n)], 1).astype("<u2")
-                    yield pa.RecordBatch.from_arrays([pa.array([g.tobytes() for g in grams], pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["gram", "n"])
-                    counts.clear()
+def _mix(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The 64-bit names of n-grams from those of their histories and last words."""
+    x = history * np.uint64(0x9E3779B97F4A7C15) + word
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
 
-        for batch in batches:
-            for x in batch.column(0):
-                ids = np.fromiter(map(lambda w: number(w, -1), [*space_words(x.as_py()), END]), np.int64)
-                key, good = ids, ids >= 0
-                for n in range(2, order + 1):
-                    if len(ids) < n:
-                        break
-                    key, good = key[:-1] << 16 | ids[n - 1 :] & 0xFFFF, good[:-1] & (ids[n - 1 :] >= 0)
-                    keys, counts = np.unique(key[good], return_counts=True)
-                    found[n].update(dict(zip(keys.tolist(), counts.tolist(), strict=True)))
-                if sum(map(len, found.values())) >= PENDING:
-                    yield from give()
-        yield from give()
 
-    return docs.select("body").mapInArrow(run, "gram binary, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+@dataclass
+class _Level:
+    """For every token of a block, the n-gram of one order that ends there: its name, whether it may be kept, and what was answered."""
+
+    name: np.ndarray
+    asked: np.ndarray
+    n: np.ndarray
+    #: Sum and number of the counts of kept n-grams that continue it.
+    total: np.ndarray
+    followers: np.ndarray
+
+
+def _levels(bodies: pa.ChunkedArray, answers: pa.Table, order: int, least: int) -> tuple[np.ndarray, list[_Level]]:
+    """Where each text's tokens start, and the levels up to `order` from the answers (word, name, n, total, followers)."""
+    is_word = pc.is_valid(answers.column("word"))
+    words, grams = answers.filter(is_word), answers.filter(pc.invert(is_word))
+    number = {w: i for i, w in enumerate(words.column("word").to_pylist())}.get
+    ids, starts = [], []
+    for x in bodies:
+        starts.append(len(ids))
+        ids.extend(number(w, -1) for w in space_words(x.as_py()))
+        ids.append(number(END, -1))
+    at, starts = np.array(ids, np.int64), np.array(starts, np.int64)
+    place = np.arange(len(at)) - np.repeat(starts, np.diff(starts, append=len(at)))
+    # The number -1 takes the row that is added at the end.
+    column = lambda table, c: np.append(table.column(c).to_numpy(), 0)
+    levels = [_Level(column(words, "name").view(np.uint64)[at], at >= 0, *(column(words, c)[at] for c in ("n", "total", "followers")))]
+    names = column(grams, "name")[:-1].view(np.uint64)
+    rank = np.argsort(names)
+    names, rank = names[rank], np.append(rank, len(names))
+    kinds = [column(grams, c) for c in ("n", "total", "followers")]
+    word = levels[0].name
+    for n in range(2, order + 1):
+        short = levels[-1]
+        kept = short.n >= least
+        name, asked = np.zeros_like(word), np.zeros(len(word), bool)
+        name[1:] = _mix(short.name[:-1], word[1:])
+        asked[1:] = kept[:-1] & kept[1:]
+        asked &= place >= n - 1
+        found = np.full(len(word), len(names))
+        found[asked] = np.searchsorted(names, name[asked])
+        hit = found < len(names)
+        hit[hit] = names[found[hit]] == name[hit]
+        row = rank[np.where(hit, found, len(names))]
+        levels.append(_Level(name, asked, *(c[row] for c in kinds)))
+    return starts, levels
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """The rows as Parquet in the shared folder, which holds them in less room than a checkpoint does."""
+    spark = df.sparkSession
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='heddle-lm-')}/lm-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def score_documents(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE, block_bytes: int = BLOCK_BYTES
+    docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, least: int = LEAST, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """`key`, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
@@ -180,57 +219,84 @@ def score_documents(
     Rows that repeat count and are scored each for itself. Without training rows no token is known and
     scores are those of the one unknown class. `key` is an integer column.
     """
-    if not 2 <= order <= 3 or word_share < 1 / 65_536:
-        raise ValueError("orders 2 and 3, and up to 65,536 frequent words, are packed into 64 bits")
+    if order < 2 or least < 1:
+        raise ValueError("n-grams have two words or more and are kept from a count of one or more")
     spark = docs.sparkSession
     ship(spark)
     body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
     rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("k"), F.coalesce(crc_bucket(F.col(f"`{key}`"), 7) == 2, F.lit(False)).alias("held_out"), body.alias("body"))
-    taught = rows.where(~F.col("held_out"))
-    totals = cut(_count_words(taught))
+    totals = cut(_count_words(rows.where(~F.col("held_out"))))
     tokens, vocabulary = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # At most 1 / word_share words and 1 / gram_share n-grams of an order can have such shares.
-    frequent = sorted((bytes(r.word), r.n) for r in totals.where(F.col("n") >= max(1, tokens * word_share)).collect())
-    grams = _count_grams(taught, [w for w, _ in frequent], order).where(F.col("n") >= max(2, tokens * gram_share)).collect()
-    machine = build(frequent, {tuple(np.frombuffer(r.gram, "<u2").tolist()): r.n for r in grams}, tokens, vocabulary)
-    shared = spark.sparkContext.broadcast(machine)
-
     size = docs.agg(F.sum(F.octet_length(body))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("k", "body"), F.lit(blocks)).cast("int"))
 
-    def ask(table: pa.Table) -> pa.Table:
-        words: set[bytes] = set()
+    def ask_words(table: pa.Table) -> pa.Table:
+        words = {END}
         for x in table.column("body"):
             words.update(space_words(x.as_py()))
         return pa.table({"block": pa.array([table.column("block")[0].as_py()] * len(words), pa.int32()), "word": pa.array(list(words), pa.binary())})
 
-    asked = dealt.groupBy("block").applyInArrow(ask, "block int, word binary")
-    answered = asked.join(totals, "word").select("block", "word", "n")
+    def ask_grams(n: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+        """For a block's documents and answers, its n-grams of order n, each with its history and its places in training rows."""
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            names, histories, counts = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0)
+            if left.num_rows:
+                starts, levels = _levels(left.column("body"), right, n, least)
+                taught = np.repeat(~left.column("held_out").to_numpy(), np.diff(starts, append=len(levels[0].name)))
+                at = np.flatnonzero(levels[-1].asked)
+                names, first, inverse = np.unique(levels[-1].name[at], return_index=True, return_inverse=True)
+                histories, counts = levels[-2].name[at[first] - 1], np.bincount(inverse, taught[at], len(names))
+            block = left.column("block")[0].as_py() if left.num_rows else 0
+            return pa.table({"block": pa.array(np.full(len(names), block, np.int32)), "name": pa.array(names.view(np.int64)), "history": pa.array(histories.view(np.int64)), "n": pa.array(counts.astype(np.int64))})
+
+        return run
+
+    none = F.lit(0).cast("bigint")
+    asked = dealt.groupBy("block").applyInArrow(ask_words, "block int, word binary")
+    # Spark's hash of one value is XXH64 of its bytes, and names the word in n-grams.
+    levels = [_written(asked.join(totals, "word").select("block", "word", F.xxhash64("word").alias("name"), "n"))]
+    shape = ["block", "word", "name", "n", "total", "followers"]
+    told: DataFrame | None = None
+    for n in range(2, order + 2):
+        if n <= order:
+            plain = levels[-1].withColumns({"total": none, "followers": none}).select(shape)
+            answers = plain if told is None else told.unionByName(plain)
+            grams = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask_grams(n), "block int, name bigint, history bigint, n bigint")
+            same = Window.partitionBy("name")
+            # Places are counted in every block that holds the n-gram; its first block stands for it among its history's.
+            counted = grams.select("block", "name", "history", F.sum("n").over(same).alias("n"), (F.min("block").over(same) == F.col("block")).alias("one"))
+            kept = _written(counted.select("block", "name", F.when(F.col("one"), F.col("history")).alias("history"), "n", "one").where(F.col("n") >= least))
+            follow = kept.where("one").groupBy(F.col("history").alias("name")).agg(F.sum("n").alias("total"), F.count("*").alias("followers"))
+            ended = levels[-1].join(follow, "name", "left").select("block", "word", "name", "n", F.coalesce("total", none).alias("total"), F.coalesce("followers", none).alias("followers"))
+            levels.append(kept.select("block", F.lit(None).cast("binary").alias("word"), "name", "n"))
+        else:
+            ended = levels[-1].withColumns({"total": none, "followers": none}).select(shape)
+        told = ended if told is None else told.unionByName(ended)
     floor = tokens + vocabulary + 1
-    end_count = dict(frequent).get(END)
-    if end_count is None:  # the end token is rare only in a corpus of very long texts
-        end_count = (totals.where(F.col("word") == F.lit(END)).first() or {"n": 0})["n"]
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        unknown = math.log10(1 / floor)
-        words = right.column("word").to_pylist()
-        logs = np.log10((right.column("n").to_numpy() + 1) / floor).tolist()
-        unigram = dict(zip(words, logs, strict=True))
-        last, machine = math.log10((end_count + 1) / floor), shared.value
-        number = machine.words.get
-        out: list[list] = [[], [], [], []]
-        for x in left.column("body"):
-            found = space_words(x.as_py())
-            known = [v for w in found if (v := unigram.get(w)) is not None]
-            base = math.fsum(known) + (len(found) - len(known)) * unknown + last
-            for c, v in zip(out, (len(found) + 1, len(known) + (end_count > 0), base, base + machine.gain([*map(number, found), number(END)])), strict=True):
-                c.append(v)
+        if not left.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=["k", "held_out", "n_tokens", "n_known", "base_score", "score"])
+        starts, levels = _levels(left.column("body"), right, order, least)
+        p = (levels[0].n + 1) / floor
+        base = np.add.reduceat(np.log10(p), starts)
+        inner = np.ones(len(p), bool)
+        inner[starts] = False
+        for short, level in zip(levels, levels[1:]):
+            # Tokens before which a history of this length is a state; a history never reaches over a text's start.
+            at = np.flatnonzero(inner[1:] & (short.followers[:-1] > 0)) + 1
+            count = short.n[at - 1]
+            weight = np.maximum(1 - (short.total[at - 1] - DISCOUNT * short.followers[at - 1]) / count, 1e-12)
+            p[at] = np.maximum(level.n[at] - DISCOUNT, 0) / count + weight * p[at]
+        lengths = np.diff(starts, append=len(p))
+        known = np.add.reduceat((levels[0].n > 0).astype(np.int64), starts)
         return pa.table(
-            {"k": left.column("k"), "held_out": left.column("held_out"), "n_tokens": pa.array(out[0], pa.int64()), "n_known": pa.array(out[1], pa.int64()), "base_score": pa.array(out[2], pa.float64()), "score": pa.array(out[3], pa.float64())}
+            {"k": left.column("k"), "held_out": left.column("held_out"), "n_tokens": pa.array(lengths), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(np.add.reduceat(np.log10(p), starts))}
         )
 
-    scored = dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(score, "k bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    scored = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, "k bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored.select(F.col("k").alias(key), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
