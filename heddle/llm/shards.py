@@ -2,11 +2,15 @@
 
 First pass: a key's shard is the one with the largest seeded hash of key and shard number, so one more
 shard takes keys only into itself; within a shard, seeded hashes scatter rows uniformly over buckets
-that fit in memory. Second pass: each bucket is put in a Fisher-Yates shuffled order and written.
+that fit in memory. Second pass: each bucket's whole records are put in a Fisher-Yates shuffled order
+and written with their slots, one file for each bucket. What the query tells is read from these files.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +33,7 @@ def dealt(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     buckets near their mean, and only rows alike in all three must share one.
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
-    names = {"size", "text_crc32", "shard", "grown_shard", "bucket", "order_key"}
+    names = {"size", "text_crc32", "shard", "grown_shard", "bucket", "order_key", "slot"}
     if clash := names & {c.lower() for c in docs.columns}:
         raise ValueError(f"columns clash with results: {sorted(clash)}")
     total = docs.agg(F.sum(F.octet_length(body) + 8), F.count("*")).first()
@@ -39,29 +43,46 @@ def dealt(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     return rows.withColumns({"bucket": F.pmod(spread(SEED - 1), F.lit(buckets)).cast("int"), "order_key": spread(SEED - 2)})
 
 
-def slots(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """`key`, size, text_crc32, shard, grown_shard, slot of dealt rows; slots run from 0 without a gap in each shard.
+def shuffled(rows: DataFrame) -> DataFrame:
+    """Dealt rows with slot, which runs from 0 without a gap in each shard; buckets follow each other within their shard.
 
-    A bucket's rows (keys and numbers alone) become one array, which is sorted, so that the result
-    doesn't depend on how rows arrive, and shuffled; buckets follow each other within their shard.
+    Records are shuffled by bucket once. The bucket's first row in hash order, which doesn't depend on how
+    rows arrive, gets a Fisher-Yates permutation of its numbers, and each row looks up its own place.
     """
-    small = cut(rows.select(F.col(f"`{key}`").alias("key"), "size", "text_crc32", "shard", "grown_shard", "bucket", "order_key"))
-    arrays = small.groupBy("shard", "bucket").agg(F.sort_array(F.collect_list(F.struct("order_key", "key", "size", "text_crc32", "grown_shard"))).alias("a"))
-    counts = small.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")
-    starts = counts.select("shard", "bucket", before.alias("start"))
-    placed = arrays.join(starts, ["shard", "bucket"]).select("shard", "start", F.posexplode(F.shuffle("a", SEED)).alias("i", "r"))
-    return placed.select(F.col("r.key").alias(key), F.col("r.size").alias("size"), F.col("r.text_crc32").alias("text_crc32"), "shard", (F.col("start") + F.col("i")).alias("slot"), F.col("r.grown_shard").alias("grown_shard"))
+    starts = cut(counts.select("shard", "bucket", before.alias("_start"), F.col("n").alias("_n")))
+    # One row for each bucket, 32 MB of records or 50,000 rows: small beside the records at any size.
+    placed = rows.repartition("shard", "bucket").join(F.broadcast(starts), ["shard", "bucket"])
+    bucket = Window.partitionBy("shard", "bucket").orderBy("order_key")
+    placed = placed.withColumn("_i", F.row_number().over(bucket))
+    permutation = F.when(F.col("_i") == 1, F.shuffle(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int")), SEED))
+    placed = placed.withColumn("_p", permutation)
+    carried = F.first("_p", ignorenulls=True).over(Window.partitionBy("shard", "bucket").orderBy("order_key", "_i").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return placed.withColumn("slot", F.col("_start") + F.element_at(carried, F.col("_i"))).select(*rows.columns, "slot")
+
+
+def slots(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """`key`, size, text_crc32, shard, grown_shard, slot of dealt rows."""
+    return shuffled(rows).select(F.col(f"`{key}`"), "size", "text_crc32", "shard", "slot", "grown_shard")
 
 
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", shards: int = SHARDS) -> None:
-    """Writes whole records into shard folders, one file for each bucket, each in shuffled order."""
-    rows = dealt(docs, key, text, shards)
-    out = rows.repartition("shard", "bucket").sortWithinPartitions("shard", "bucket", "order_key")
-    out.drop("size", "text_crc32", "grown_shard", "order_key").write.partitionBy("shard", "bucket").parquet(path)
+    """Writes whole records with their slots into shard folders, one file for each bucket, each in the order of its slots."""
+    out = shuffled(dealt(docs, key, text, shards)).drop("size", "text_crc32", "grown_shard", "order_key")
+    out.sortWithinPartitions("shard", "bucket", "slot").write.partitionBy("shard", "bucket").parquet(path)
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents by the law `key`. A null text has no bytes (size 8, checksum 0); repeated rows get a slot each."""
-    found = slots(dealt(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
-    return found.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("bigint").alias("slot"), "grown_shard")
+    """All documents by the law `key`, as the shards' files hold them. A null text has no bytes (size 8, checksum 0); repeated rows get a slot each."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="heddle-shards-")
+    path = f"{shared}/shards-{uuid.uuid4().hex}"
+    docs = read_table(spark, sf_dir, "documents")
+    write_shards(docs, path)
+    # With the columns' types, an empty table can be read back too.
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    found = spark.read.schema(f"{fields}, slot bigint, shard int, bucket int").parquet(path)
+    body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return found.select(
+        "doc_id", (F.octet_length(body) + 8).cast("bigint").alias("size"), F.crc32(body).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", _shard(F.col("doc_id"), SHARDS + 1).alias("grown_shard")
+    )

@@ -7,9 +7,12 @@ import random
 import zlib
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 
-from heddle.llm import lm
+from heddle.llm import lm, shards
+
+D = "/root/testdata/sf0.001"
 
 
 @pytest.mark.parametrize("block_bytes", [1 << 24, 900])
@@ -28,3 +31,25 @@ def test_lm_keeps_rare_ngrams(spark, block_bytes):
     machine = lm.build([(w, count[w]) for w in sorted(count)], {g: c for g, c in grams.items() if c >= 2}, sum(count.values()), len(count))
     for k, w in lists.items():
         assert math.isclose(got[k].score, got[k].base_score + machine.gain([number.get(t) for t in w]), rel_tol=1e-9)
+
+
+def test_shard_files_hold_the_slots(spark, tmp_path):
+    """Files hold whole records in the order of their slots, which is shuffled, and the query tells what they hold."""
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    shards.write_shards(docs, str(tmp_path / "s"), shards=3)
+    whole = {r.doc_id: r for r in docs.collect()}
+    for s in range(3):
+        files = sorted((tmp_path / "s" / f"shard={s}").rglob("*.parquet"))
+        rows = [r for f in files for r in pq.ParquetFile(f).read().to_pylist()]
+        assert [r["slot"] for r in rows] == list(range(len(rows))) and len(rows) > 20
+        assert all(r["text"] == whole[r["doc_id"]].text for r in rows)
+        order = {r.doc_id: r.order_key for r in shards.dealt(docs.select("doc_id", "text"), shards=3).where(f"shard = {s}").collect()}
+        assert [r["doc_id"] for r in rows] != sorted(order, key=order.get)
+
+
+def test_sharding_reads_back_what_it_wrote(spark, tmp_path, monkeypatch):
+    written = []
+    write = shards.write_shards
+    monkeypatch.setattr(shards, "write_shards", lambda docs, path, *a, **b: (write(docs, path, *a, **b), written.append(path)))
+    got = {r.doc_id: (r.shard, r.slot) for r in shards.op9_sharding(spark, D).collect()}
+    assert got == {r.doc_id: (r.shard, r.slot) for r in spark.read.parquet(written[0]).collect()} and len(got) == 200
