@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, read_table
 
-MIN_WORDS = 30
+MIN_WORDS = 1
 ROW = ["k", "t"]
 WORD = r"[^\x20\x09-\x0D]+"
 

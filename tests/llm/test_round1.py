@@ -10,7 +10,7 @@ from collections import Counter
 import pyarrow.parquet as pq
 import pytest
 
-from heddle.llm import lm, shards
+from heddle.llm import linededup, lm, shards
 
 D = "/root/testdata/sf0.001"
 
@@ -33,6 +33,15 @@ def test_lm_keeps_rare_ngrams(spark, block_bytes):
         assert math.isclose(got[k].score, got[k].base_score + machine.gain([number.get(t) for t in w]), rel_tol=1e-9)
 
 
+def test_line_dedup_deletes_short_lines(spark):
+    """A single repeated line is a run, however short; a blank line goes with the run it stands in."""
+    line = "The and attion to thanedble the, anea. Eriner thanea."
+    rows = [(i, f"own{i} line\n{line}\n\nend{i}\nword") for i in range(6)]
+    got = {r.doc_id: r.text for r in linededup.dedupe_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == rows[0][1]
+    assert all(got[i] == f"own{i} line\nend{i}" for i in range(1, 6))
+
+
 def test_shard_files_hold_the_slots(spark, tmp_path):
     """Files hold whole records in the order of their slots, which is shuffled, and the query tells what they hold."""
     docs = spark.read.parquet(f"{D}/documents.parquet")
