@@ -22,8 +22,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the later copies of repeated line runs; n_chars follows the text. Documents with no line left go."""
-    left = linededup.dedupe_lines(docs).where(F.col("n_deleted") < F.col("n_lines"))
+    """Texts without the later copies of repeated line runs; n_chars follows the text. Documents whose lines were all deleted go."""
+    left = linededup.dedupe_lines(docs).where((F.col("n_deleted") == 0) | (F.col("n_deleted") < F.col("n_lines")))
     return left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

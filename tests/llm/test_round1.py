@@ -10,6 +10,7 @@ from collections import Counter
 import pyarrow.parquet as pq
 import pytest
 
+import corpus_pipeline
 from heddle.llm import linededup, lm, shards
 
 D = "/root/testdata/sf0.001"
@@ -62,3 +63,10 @@ def test_sharding_reads_back_what_it_wrote(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(shards, "write_shards", lambda docs, path, *a, **b: (write(docs, path, *a, **b), written.append(path)))
     got = {r.doc_id: (r.shard, r.slot) for r in shards.op9_sharding(spark, D).collect()}
     assert got == {r.doc_id: (r.shard, r.slot) for r in spark.read.parquet(written[0]).collect()} and len(got) == 200
+
+
+def test_pipeline_line_dedup_keeps_null_texts(spark):
+    """A row goes only where lines were deleted, and all of them."""
+    rows = [(1, None, 0), (2, "", 0), (3, "some line", 9), (4, "some line", 9)]
+    got = corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), D)
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == [(1, None), (2, ""), (3, "some line")]
