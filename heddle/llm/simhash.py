@@ -90,15 +90,20 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     share a fingerprint and so a component. A null key keeps its row; it is no component's smallest
     key unless all of them are null. Rows that repeat give repeated results.
     """
+    return _grouped(docs, key, text, words, radius).select(key, "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, key: str, text: str, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """As groups(), with component, a fingerprint that names the component where keys don't."""
     prints = cut(fingerprints(docs, [key], text, words))
     distinct = cut(prints.groupBy("fp").agg(F.min(key).alias("rep")))
     members = connected_components(links(distinct.select("fp"), radius)).withColumnsRenamed({"node": "fp"})
     named = distinct.join(members, "fp")
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    found = named.join(smallest, "component").select("fp", "component_id")
+    found = named.join(smallest, "component").select("fp", "component", "component_id")
     # A table of its own, so that the last join reads two plain shuffles and a fingerprint with very many copies can be split.
-    reps = cut(distinct.join(found, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")))
-    return prints.join(reps, "fp").select(key, "fp", "component_id")
+    reps = cut(distinct.join(found, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "rep").alias("component_id")))
+    return prints.join(reps, "fp").select(key, "fp", "component_id", "component")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,9 +113,15 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row with the smallest key of each group, in its own columns; rows that repeat a key stay once."""
-    found = cut(groups(docs, key, text))
-    drop = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
-    kept = docs.join(drop, key, "left_anti").select(docs.columns)
-    repeated = found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1")
-    return kept.dropDuplicates([key]) if not repeated.isEmpty() else kept
+    """The row with the smallest key of each group, in its own columns, and one row of those that repeat key and fingerprint.
+
+    A null key comes after all others. Where keys repeat, rows are told apart by their fingerprints too.
+    """
+    found = cut(_grouped(docs, key, text))
+    order = F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("key"), F.col("fp").alias("fp"))
+    best = found.groupBy("component").agg(F.min(order).alias("b")).select(F.col("b.key").alias("_key"), F.col("b.fp").alias("_fp"))
+    if found.groupBy(key).count().where("count > 1").isEmpty():
+        return docs.join(best, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+    rows = fingerprints(docs, docs.columns, text)
+    kept = rows.join(best, F.col(key).eqNullSafe(F.col("_key")) & (F.col("fp") == F.col("_fp")), "left_semi")
+    return kept.dropDuplicates([key, "fp"]).select(docs.columns)

@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
-from heddle.llm import linededup, lm, shards
+from heddle.llm import linededup, lm, shards, simhash
 
 D = "/root/testdata/sf0.001"
 
@@ -70,3 +70,13 @@ def test_pipeline_line_dedup_keeps_null_texts(spark):
     rows = [(1, None, 0), (2, "", 0), (3, "some line", 9), (4, "some line", 9)]
     got = corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), D)
     assert sorted((r.doc_id, r.text) for r in got.collect()) == [(1, None), (2, ""), (3, "some line")]
+
+
+def test_keep_one_where_keys_repeat(spark):
+    """Each group keeps exactly one row, whatever keys its rows share with others."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, b), (None, c), (None, c), (None, a)]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == [("1", a), ("2", b), ("None", c)]
+    alone = simhash.keep_one(spark.createDataFrame([(1, a), (None, a), (2, b)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in alone) == [(1, a), (2, b)]
