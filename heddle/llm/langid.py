@@ -2,24 +2,28 @@
 
 A text's features are the counts of its byte n-grams within words, hashed into buckets. The buckets'
 embeddings, averaged by these counts, feed a linear softmax; both are trained by stochastic gradient
-descent in numpy on the driver, on a bounded sample of labelled rows. A held-back part of the sample
+descent in numpy, in one task, on a bounded sample of labelled rows. A held-back part of the sample
 calibrates the temperature of the scores and the score below which a prediction is rejected.
 """
 
 from __future__ import annotations
 
+import pickle
 import random
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import crc_bucket, map_texts, read_table
 
-#: Rows that the classifier is fitted on at most, in order of a hash of key and text. The bound keeps
-#: the driver's memory fixed; accuracy no longer rises noticeably beyond it.
+#: Rows that the classifier is fitted on at most. Half of them are dealt to the languages evenly, so a rare
+#: language is learned whatever its share of the corpus.
 SAMPLE_ROWS = 6_000
 BUCKETS, DIMENSIONS, GRAMS, EPOCHS, RATE, BATCH, SEED = 1 << 12, 16, (2, 3, 4), 6, 2.0, 64, 7
 #: Short stretches of each sampled text, in words, that are trained on beside the whole text.
@@ -90,56 +94,91 @@ class LanguageModel:
         return self.languages[best], float(p[best]), bool(p[best] < self.threshold)
 
 
-def _sample(labelled: DataFrame, key: str, text: str, lang: str, rows: int) -> list:
-    """(label, indices, counts, whole) of every sampled row's text and of some stretches of it.
+def _shares(labelled: DataFrame, lang: str, rows: int) -> list[tuple[str, float]]:
+    """The share of each language's rows that is sampled: half of `rows` is dealt evenly, half by frequency.
 
-    Executors turn whole texts into counts, whose size is bounded by the buckets whatever the text's
-    length; only these reach the driver.
+    At most rows / 2 languages, the most frequent ones, are learned; that bounds what comes to the driver.
     """
-    order = F.xxhash64(F.col(f"`{key}`").cast("string"), F.col(f"`{text}`"))
-    chosen = labelled.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"), order.alias("o"))
-    # The hashes alone are sorted first, so that texts beyond the sample never leave their tasks.
-    last = chosen.select("o").orderBy("o").limit(rows).agg(F.max("o")).first()[0]
-    chosen = chosen.where(F.col("o") <= F.lit(last).cast("bigint")).orderBy("o", "lang").limit(rows)
-
-    def make():
-        def each(data: bytes | None) -> tuple:
-            text = data.decode() if data else ""
-            if not has_letter(text):
-                return ([],)
-            words, chance = text.split(), random.Random(len(text))
-            parts = [text]
-            for n in STRETCHES:
-                if len(words) > n:
-                    at = chance.randrange(len(words) - n + 1)
-                    parts.append(" ".join(words[at : at + n]))
-            out = []
-            for part in parts:
-                if has_letter(part):
-                    counts = features(part)
-                    index = np.nonzero(counts)[0]
-                    out.append({"i": index.astype("<u2").tobytes(), "c": counts[index].astype("<f4").tobytes()})
-            return (out,)
-
-        return each
-
-    kind = T.ArrayType(T.StructType([T.StructField("i", T.BinaryType()), T.StructField("c", T.BinaryType())]))
-    return map_texts(chosen, "text", ["o", "lang"], [("f", kind)], make).orderBy("o", "lang").select("lang", "f").collect()
+    name = F.col(f"`{lang}`").cast("string").alias("lang")
+    found = labelled.groupBy(name).agg(F.count("*").alias("n")).where("lang is not null").orderBy(F.desc("n"), "lang").limit(max(1, rows // 2)).collect()
+    total = sum(r.n for r in found)
+    return [(r.lang, min(1.0, max(rows // (2 * len(found)), rows * r.n / (2 * total)) / r.n)) for r in found]
+
+
+def _packed(text: str) -> bytes:
+    """Feature counts of a text and of some stretches of it, each as its size, its indices and its counts."""
+    if not has_letter(text):
+        return b""
+    words, chance = text.split(), random.Random(len(text))
+    parts = [text]
+    for n in STRETCHES:
+        if len(words) > n:
+            at = chance.randrange(len(words) - n + 1)
+            parts.append(" ".join(words[at : at + n]))
+    out = []
+    for part in parts:
+        if has_letter(part):
+            counts = features(part)
+            index = np.nonzero(counts)[0]
+            out += [np.uint32(len(index)).tobytes(), index.astype("<u2").tobytes(), counts[index].astype("<f4").tobytes()]
+    return b"".join(out)
+
+
+def _unpacked(data: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
+    out, at = [], 0
+    while at < len(data):
+        n = int(np.frombuffer(data, "<u4", 1, at)[0])
+        out.append((np.frombuffer(data, "<u2", n, at + 4), np.frombuffer(data, "<f4", n, at + 4 + 2 * n)))
+        at += 4 + 6 * n
+    return out
+
+
+def _sample(labelled: DataFrame, key: str, text: str, lang: str, rows: int) -> DataFrame:
+    """(lang, f) of at most `rows` rows, in an order that a hash of key and text fixes.
+
+    Rows are chosen and turned into counts where they are; a row's counts are bounded by the buckets
+    whatever its text's length, and nothing else leaves its task.
+    """
+    shares = labelled.sparkSession.createDataFrame(_shares(labelled, lang, rows), "lang string, share double")
+    place = F.xxhash64(F.col(f"`{key}`").cast("string"), F.col(f"`{text}`")) / F.lit(2.0**64) + 0.5
+    hashed = labelled.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"), place.alias("place"))
+    # rows / 2 short rows at most.
+    chosen = hashed.join(F.broadcast(shares), "lang").where("place <= share").select("lang", "text", (F.col("place") / F.col("share")).alias("place"))
+    counted = map_texts(chosen, "text", ["place", "lang"], [("f", T.BinaryType())], lambda: lambda data: (_packed(data.decode() if data else ""),))
+    # Repeated rows share a place and could pass the bound.
+    return counted.where(F.octet_length("f") > 0).orderBy("place", "lang", "f").limit(rows).select("lang", "f")
 
 
 def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS) -> LanguageModel:
-    """Fits a model to at most `rows` rows with a label. Without any, the model knows no language."""
-    sample = [(r.lang, [(np.frombuffer(x.i, "<u2"), np.frombuffer(x.c, "<f4")) for x in r.f]) for r in _sample(labelled, key, text, lang, rows)]
-    sample = [(lang, parts) for lang, parts in sample if parts]
+    """Fits a model to at most `rows` rows with a label, in one task. Without any, the model knows no language.
+
+    Null and empty labels: rows with a null label teach nothing, an empty one is a label like any other.
+    Texts that are null or have no letter teach nothing. Repeated rows are sampled each for itself.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = [(name.as_py(), _unpacked(f.as_py())) for b in batches for name, f in zip(b.column(0), b.column(1), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(sample))], pa.binary())], names=["model"])
+
+    found = _sample(labelled, key, text, lang, rows).mapInArrow(run, "model binary").collect()
+    # An empty sample may have no task at all.
+    return pickle.loads(found[0].model) if found else fit([])
+
+
+def fit(sample: list[tuple[str, list[tuple[np.ndarray, np.ndarray]]]]) -> LanguageModel:
+    """The model of sampled rows (label, features of the text and of its stretches); the second, seventh, ... row of each language calibrate."""
     languages = sorted({lang for lang, _ in sample})
     empty = LanguageModel(languages, np.zeros((BUCKETS, len(languages)), np.float32), np.zeros(len(languages), np.float32), 1.0, 0.0)
     if len(languages) < 2:
         return empty
+    seen: Counter[str] = Counter()
+    taught, hold = [], []
+    for lang, parts in sample:
+        (hold if seen[lang] % 5 == 1 else taught).append((lang, parts))
+        seen[lang] += 1
     code = {lang: i for i, lang in enumerate(languages)}
-    fit = [x for i, x in enumerate(sample) if i % 5] if len(sample) >= 50 else sample
-    hold = [x for i, x in enumerate(sample) if i % 5 == 0]
-    texts = [part for _, parts in fit for part in parts]
-    labels = np.array([code[lang] for lang, parts in fit for _ in parts])
+    texts = [part for _, parts in taught for part in parts]
+    labels = np.array([code[lang] for lang, parts in taught for _ in parts])
     chance = np.random.default_rng(SEED)
     e = chance.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     w, b = np.zeros((DIMENSIONS, len(languages)), np.float32), np.zeros(len(languages), np.float32)
@@ -172,7 +211,8 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
             e[used] -= rate * 20 * (x[:m, used].T @ dv)
             step += 1
     model = LanguageModel(languages, (e @ w).astype(np.float32), b, 1.0, 0.0)
-    _calibrate(model, [(code[lang], p) for lang, parts in (hold or fit) for p in parts], [(code[lang], parts[0]) for lang, parts in (hold or fit)])
+    if hold:
+        _calibrate(model, [(code[lang], p) for lang, parts in hold for p in parts], [(code[lang], parts[0]) for lang, parts in hold])
     return model
 
 
