@@ -4,26 +4,71 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one the session names in spark.checkpoint.dir.
 
-    The folder is the one the session names in spark.checkpoint.dir; only where that is unset, as in
-    tests, a temporary one is set.
+    Only where that is unset and the application runs in one process, as in tests, a temporary one is made.
     """
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not (own := spark.conf.get("spark.heddle.folder", None)):
+        own = tempfile.mkdtemp(prefix="heddle-")
+        spark.conf.set("spark.heddle.folder", own)
+    return own
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="heddle-checkpoints-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within, a write removes its shuffle files as soon as it is done, rather than when the driver collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def written(df: DataFrame, path: str, **options: str) -> DataFrame:
+    """The rows as a Parquet table, which cuts the lineage in less room than a checkpoint; empty tables can be read back, too."""
+    with shuffles_removed(df.sparkSession):
+        df.write.options(**options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders in whatever file system they are."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package's source to the executors, once for each application.
 
@@ -34,6 +79,7 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    # On the driver only; Spark serves the file to the executors.
     target = os.path.join(tempfile.mkdtemp(), "heddle_source.zip")
     with zipfile.ZipFile(target, "w") as z:
         for folder, _, names in os.walk(os.path.join(root, "heddle")):
