@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
+#: Rows and bytes of an Arrow batch between Spark and Python. Spark's own bounds (10,000 rows, 64 MB or more) are copied
+#: several times over on both sides, beyond the heap, in every task at once; whole texts need far smaller ones.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the one the session names in spark.checkpoint.dir.
@@ -73,9 +77,12 @@ def ship(spark: SparkSession) -> None:
     """Sends this package's source to the executors, once for each application.
 
     Executors then need no installed copy, and Python workers can keep what they have built, such as an
-    automaton, in module-level caches.
+    automaton, in module-level caches. Arrow batches are bounded where the session itself doesn't bound them.
     """
     context = spark.sparkContext
+    for name, value in BATCHES.items():
+        if spark.conf.get(name) == spark._jvm.org.apache.spark.sql.internal.SQLConf().getConfString(name):
+            spark.conf.set(name, value)
     if context.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
