@@ -1,40 +1,47 @@
 """Operator 8: language-model scoring with a weighted backoff automaton.
 
-Unigram counts cover the whole training text, and n-grams of higher order are kept over all words from
-a fixed count. A state is a history with kept continuations: it has an arc for each of them, with its
-interpolated probability, and a failure arc with the backoff weight to the state of the next shorter
-history. The state before a token is the longest such history of the tokens before it, so a block's
-tokens are all traversed at once, in arrays.
-
-Neither words nor n-grams have a bound. So no executor holds them all: documents are dealt into blocks
-of bounded size, each block asks for the counts of its own distinct words and n-grams, and joins answer.
-An n-gram is asked for only where both n-grams of the next lower order that it holds are kept, since
-otherwise it can't reach the count either.
+Counts cover the whole training text: every word and every n-gram of it, however rare. A state is a
+history that was seen; it has an arc for each word that followed, with its smoothed probability, and a
+failure arc with the backoff weight to the state of the next shorter history:
+
+    P(w | h) = (c(hw) + S P(w | shorter h)) / (c(h) + S)
+
+and without history the add-one unigram, so every state's probabilities sum to 1. The traversal goes
+over each text once from the left. The state it carries into a token is the longest seen history of at
+most order - 1 tokens, so the traversals of all texts of a chunk advance together, in arrays.
+
+No executor holds all n-grams. Documents are put into chunks of bounded size, once and for all in a
+table. A chunk sends its own distinct n-grams, sorted and packed by ranges of their names, to the tasks
+that count; these answer with the counts of those that other chunks have, too. What no other chunk has
+is counted in the chunk already, and an n-gram can stand in two chunks only if both n-grams of the next
+lower order in it do, so trigrams are asked for only where that holds.
+
+Words and n-grams go by 64-bit hashes; of V of them about V^2 / 2^65 pairs share a name (one in 4 million
+tables of three million words has one such pair).
 """
 
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from .common import crc_bucket, cut, read_table, ship, space_words
+from ..runtime import new_path, removed, written
+from .common import crc_bucket, read_table, ship, space_words
 
 ORDER = 3
-#: Places in the training text from which an n-gram is kept.
-LEAST = 2
-DISCOUNT = 0.75
-#: UTF-8 bytes of documents in a block, and distinct words counted before they are passed on.
-BLOCK_BYTES, PENDING = 16 << 20, 400_000
+#: Weight of the shorter history, in tokens; held-out texts score best near it.
+STRENGTH = 32.0
+#: Tokens in a chunk, and bytes of names that one counting task gets.
+CHUNK_TOKENS, RANGE_BYTES = 200_000, 48 << 20
+#: Distinct words whose names a task remembers.
+CACHE_WORDS = 500_000
 #: The end token; no word holds a white space.
 END = b"\n"
 
@@ -73,21 +80,15 @@ class Automaton:
         return total
 
 
-def build(words: list[tuple[bytes, int]], grams: dict[tuple[int, ...], int], tokens: int, vocabulary: int, discount: float = DISCOUNT) -> Automaton:
-    """The automaton of words (word, count) and kept n-grams of their numbers, with absolute discounting.
-
-    It is held whole, for small corpora; the operator has the same arcs and weights in a block's arrays.
+def build(words: list[tuple[bytes, int]], grams: dict[tuple[int, ...], int], tokens: int, vocabulary: int, strength: float = STRENGTH) -> Automaton:
+    """The automaton of words (word, count) and all n-grams of their numbers, held whole, for small corpora.
 
-    P(w | h) = max(c(hw) - D, 0) / c(h) + (1 - sum over kept w' of max(c(hw') - D, 0) / c(h)) P(w | shorter h),
-    and without history the add-one unigram; so every state's probabilities sum to 1.
+    The operator has the same arcs and weights in a chunk's arrays.
     """
     unigram = [(c + 1) / (tokens + vocabulary + 1) for _, c in words]
-    count = {(i,): c for i, (_, c) in enumerate(words)} | grams
     followers: dict[tuple[int, ...], list[int]] = {}
     for gram in grams:
-        if gram[:-1] in count:
-            followers.setdefault(gram[:-1], []).append(gram[-1])
-    followers = {h: f for h, f in followers.items() if all(h[k:] in followers for k in range(1, len(h)))}
+        followers.setdefault(gram[:-1], []).append(gram[-1])
     states = {(): 0} | {h: i + 1 for i, h in enumerate(sorted(followers, key=lambda h: (len(h), h)))}
 
     def longest(history: tuple[int, ...]) -> tuple[int, ...]:
@@ -105,18 +106,17 @@ def build(words: list[tuple[bytes, int]], grams: dict[tuple[int, ...], int], tok
         while h:
             if (h, w) in chance:
                 return scale * chance[h, w]
-            if h in backoff:
-                scale *= backoff[h]
+            scale *= backoff.get(h, 1.0)
             h = h[1:]
         return scale * unigram[w]
 
     for h, state in states.items():
         if not h:
             continue
-        kept = {w: max(grams[(*h, w)] - discount, 0) / count[h] for w in followers[h]}
-        backoff[h] = max(1 - sum(kept.values()), 1e-12)
-        for w, share in kept.items():
-            chance[h, w] = share + backoff[h] * p(h[1:], w)
+        seen = sum(grams[(*h, w)] for w in followers[h])
+        backoff[h] = strength / (seen + strength)
+        for w in followers[h]:
+            chance[h, w] = grams[(*h, w)] / (seen + strength) + backoff[h] * p(h[1:], w)
             machine.arcs[state][w] = (math.log10(chance[h, w]) - math.log10(unigram[w]), states[longest((*h, w))])
         machine.weight[state] = math.log10(backoff[h])
         machine.fail[state] = states[longest(h[1:])]
@@ -124,26 +124,14 @@ def build(words: list[tuple[bytes, int]], grams: dict[tuple[int, ...], int], tok
     return machine
 
 
-def _count_words(docs: DataFrame) -> DataFrame:
-    """(word, n) of all texts, counted in each task before the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[bytes] = Counter()
-
-        def give() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
-            found.clear()
-            return out
-
-        for batch in batches:
-            for x in batch.column(0):
-                found.update(space_words(x.as_py()))
-                found[END] += 1
-                if len(found) >= PENDING:
-                    yield give()
-        yield give()
+class _Names(dict):
+    """The names of words, remembered up to a bound."""
 
-    return docs.select("body").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        name = self[word] = xxh64_intdigest(word)
+        return name
 
 
 def _mix(history: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -154,150 +142,234 @@ def _mix(history: np.ndarray, word: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
+#: A chunk: its documents' keys, whether each is held out, its tokens, the chunk's distinct words' names
+#: in order (unsigned 64-bit) and every token's place among them (unsigned 32-bit).
+CHUNK = "chunk bigint, keys array<bigint>, held array<boolean>, sizes array<int>, words binary, ids binary"
+
+
+def _chunks(rows: DataFrame, chunk_tokens: int) -> DataFrame:
+    """Rows (k, held, body) in chunks of at least `chunk_tokens` tokens; each task's last one may have fewer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        names, end, part, made = _Names(), xxh64_intdigest(END), TaskContext.get().partitionId(), 0
+        keys, held, tokens, n = [], [], [], 0
+
+        def chunk() -> pa.RecordBatch:
+            words, ids = np.unique(np.concatenate(tokens), return_inverse=True)
+            columns = [[(part << 33) + made], [keys], [held], [[len(t) for t in tokens]], [words.tobytes()], [ids.astype("<u4").tobytes()]]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in CHUNK.split(", ")])
+
+        for batch in batches:
+            for key, out, body in zip(*batch.columns, strict=True):
+                words = space_words(body.as_py())
+                t = np.empty(len(words) + 1, np.uint64)
+                t[:-1] = np.fromiter(map(names.__getitem__, words), np.uint64, len(words))
+                t[-1] = end
+                keys.append(key.as_py())
+                held.append(out.as_py())
+                tokens.append(t)
+                n += len(t)
+                if n >= chunk_tokens:
+                    yield chunk()
+                    made += 1
+                    keys, held, tokens, n = [], [], [], 0
+        if tokens:
+            yield chunk()
+
+    return rows.mapInArrow(run, CHUNK)
+
+
 @dataclass
 class _Level:
-    """For every token of a block, the n-gram of one order that ends there: its name, whether it may be kept, and what was answered."""
+    """The n-grams of one order of a chunk."""
 
-    name: np.ndarray
+    #: Distinct names in order, and for every token the place of the n-gram that ends there (one past the last if none does).
+    names: np.ndarray
+    at: np.ndarray
+    #: Whether another chunk may have it, whether one has, and its places in training rows: of the chunk, then of all.
     asked: np.ndarray
+    shared: np.ndarray
     n: np.ndarray
-    #: Sum and number of the counts of kept n-grams that continue it.
-    total: np.ndarray
-    followers: np.ndarray
-
-
-def _levels(bodies: pa.ChunkedArray, answers: pa.Table, order: int, least: int) -> tuple[np.ndarray, list[_Level]]:
-    """Where each text's tokens start, and the levels up to `order` from the answers (word, name, n, total, followers)."""
-    is_word = pc.is_valid(answers.column("word"))
-    words, grams = answers.filter(is_word), answers.filter(pc.invert(is_word))
-    number = {w: i for i, w in enumerate(words.column("word").to_pylist())}.get
-    ids, starts = [], []
-    for x in bodies:
-        starts.append(len(ids))
-        ids.extend(number(w, -1) for w in space_words(x.as_py()))
-        ids.append(number(END, -1))
-    at, starts = np.array(ids, np.int64), np.array(starts, np.int64)
-    place = np.arange(len(at)) - np.repeat(starts, np.diff(starts, append=len(at)))
-    # The number -1 takes the row that is added at the end.
-    column = lambda table, c: np.append(table.column(c).to_numpy(), 0)
-    levels = [_Level(column(words, "name").view(np.uint64)[at], at >= 0, *(column(words, c)[at] for c in ("n", "total", "followers")))]
-    names = column(grams, "name")[:-1].view(np.uint64)
-    rank = np.argsort(names)
-    names, rank = names[rank], np.append(rank, len(names))
-    kinds = [column(grams, c) for c in ("n", "total", "followers")]
-    word = levels[0].name
-    for n in range(2, order + 1):
-        short = levels[-1]
-        kept = short.n >= least
-        name, asked = np.zeros_like(word), np.zeros(len(word), bool)
-        name[1:] = _mix(short.name[:-1], word[1:])
-        asked[1:] = kept[:-1] & kept[1:]
-        asked &= place >= n - 1
-        found = np.full(len(word), len(names))
-        found[asked] = np.searchsorted(names, name[asked])
-        hit = found < len(names)
-        hit[hit] = names[found[hit]] == name[hit]
-        row = rank[np.where(hit, found, len(names))]
-        levels.append(_Level(name, asked, *(c[row] for c in kinds)))
-    return starts, levels
-
-
-def _written(df: DataFrame) -> DataFrame:
-    """The rows as Parquet in the shared folder, which holds them in less room than a checkpoint does."""
-    spark = df.sparkSession
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='heddle-lm-')}/lm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def _arrays(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a chunk: where texts start, each token's place in its text, its word's name, and 1 for training rows."""
+    sizes = np.array(row["sizes"], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(sizes.sum()) - np.repeat(starts, sizes)
+    word = np.frombuffer(row["words"], np.uint64)[np.frombuffer(row["ids"], "<u4")]
+    return starts, place, word, np.repeat(~np.array(row["held"], bool), sizes).astype(np.float64)
+
+
+def _level(n: int, row: dict, place: np.ndarray, word: np.ndarray, taught: np.ndarray, before: _Level | None) -> _Level:
+    """The chunk's n-grams of order n, before any answer."""
+    if before is None:
+        names, at = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["ids"], "<u4").astype(np.int64)
+        here = slice(None)
+    else:
+        here = np.flatnonzero(place >= n - 1)
+        names, inner = np.unique(_mix(before.names[before.at[here - 1]], word[here]), return_inverse=True)
+        at = np.full(len(place), len(names))
+        at[here] = inner
+    asked = np.ones(len(names), bool)
+    if before is not None and n > 2:
+        asked[:] = False
+        asked[at[here[before.shared[before.at[here - 1]] & before.shared[before.at[here]]]]] = True
+    counts = np.bincount(at[here], taught[here], len(names)).astype(np.int64)
+    return _Level(names, at, asked, np.zeros(len(names), bool), counts)
+
+
+def _ranges(level: _Level, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the asked names in order, the ranges of names that have any, and where these start among the places."""
+    places = np.flatnonzero(level.asked)
+    of = level.names[places] >> np.uint64(64 - bits)
+    starts = np.flatnonzero(np.diff(of, prepend=np.uint64(1 << bits)))
+    return places, of[starts].astype(np.int64), starts
+
+
+#: What a chunk asks: the range of names (the order and the leading bits), the names, their training places in the chunk.
+ASK = "range bigint, chunk bigint, names binary, counts binary"
+#: What it is told: which of the names another chunk has (packed bits) and how many training places these have in all.
+#: Beside these, with a null chunk, the sum of all places of the range and the number of names that have any.
+TELL = "range bigint, chunk bigint, shared binary, totals binary, places bigint, distinct bigint"
+
+
+def _asked(n: int, level: _Level, chunk: int, bits: int) -> pa.Table:
+    places, ranges, starts = _ranges(level, bits)
+    ends = np.append(starts[1:], len(places))
+    names, counts = level.names[places], level.n[places].astype("<u4")
+    return pa.table({
+        "range": pa.array(ranges + (n << bits), pa.int64()), "chunk": pa.array(np.full(len(ranges), chunk), pa.int64()),
+        "names": pa.array([names[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()), "counts": pa.array([counts[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
+    })
+
+
+def _told(table: pa.Table) -> pa.Table:
+    """Counts all names of one range and answers every chunk that asked."""
+    blobs = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("names")]
+    names, own = np.concatenate(blobs), np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in table.column("counts")])
+    order = np.argsort(names)
+    ordered = names[order]
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    sums, chunks = np.add.reduceat(own[order], first, dtype=np.int64), np.diff(first, append=len(names))
+    total, many = np.empty(len(names), np.int64), np.empty(len(names), bool)
+    total[order], many[order] = np.repeat(sums, chunks), np.repeat(chunks > 1, chunks)
+    at, shared, totals, who = 0, [], [], []
+    for chunk, blob in zip(table.column("chunk"), blobs):
+        some, all_ = many[at : at + len(blob)], total[at : at + len(blob)]
+        at += len(blob)
+        if some.any():
+            who.append(chunk.as_py())
+            shared.append(np.packbits(some).tobytes())
+            totals.append(all_[some].tobytes())
+    size, number = len(who), table.column("range")[0].as_py()
+    return pa.table({
+        "range": pa.array([number] * (size + 1), pa.int64()), "chunk": pa.array([*who, None], pa.int64()), "shared": pa.array([*shared, None], pa.binary()), "totals": pa.array([*totals, None], pa.binary()),
+        "places": pa.array([None] * size + [int(sums.sum())], pa.int64()), "distinct": pa.array([None] * size + [int((sums > 0).sum())], pa.int64()),
+    })
+
+
+def _learned(n: int, level: _Level, answers: dict[int, tuple[bytes, bytes]], bits: int) -> _Level:
+    """The level with the answers to its ranges."""
+    places, ranges, starts = _ranges(level, bits)
+    for number, a, b in zip(ranges.tolist(), starts, np.append(starts[1:], len(places))):
+        if (answer := answers.get(number + (n << bits))) is not None:
+            some = places[a:b][np.unpackbits(np.frombuffer(answer[0], np.uint8), count=b - a).astype(bool)]
+            level.shared[some] = True
+            level.n[some] = np.frombuffer(answer[1], np.int64)
+    # The place one past the last stands for tokens without an n-gram.
+    level.shared, level.n = np.append(level.shared, False), np.append(level.n, 0)
+    return level
+
+
+def _levels(row: dict, told: pa.Table, order: int, bits: int) -> tuple[np.ndarray, np.ndarray, list[_Level], Callable[[int], _Level]]:
+    """Starts and places of a chunk's texts, its levels up to `order` with their answers, and the next one without."""
+    starts, place, word, taught = _arrays(row)
+    answers = {r: (s, t) for r, s, t in zip(told.column("range").to_pylist(), told.column("shared").to_pylist(), told.column("totals").to_pylist())}
+    levels: list[_Level] = []
+    fresh = lambda n: _level(n, row, place, word, taught, levels[-1] if levels else None)
+    for n in range(1, order + 1):
+        levels.append(_learned(n, fresh(n), answers, bits))
+    return starts, place, levels, fresh
 
 
 def score_documents(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, least: int = LEAST, block_bytes: int = BLOCK_BYTES
+    docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, strength: float = STRENGTH, chunk_tokens: int = CHUNK_TOKENS
 ) -> DataFrame:
     """`key`, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     A null text counts as empty: one token, the end. A null key is not held out and is learned from.
     Rows that repeat count and are scored each for itself. Without training rows no token is known and
-    scores are those of the one unknown class. `key` is an integer column.
+    scores are those of the one unknown class. `key` is an integer column; other columns may have any
+    name. The rows are written to the shared folder and stay there; working tables are deleted.
     """
-    if order < 2 or least < 1:
-        raise ValueError("n-grams have two words or more and are kept from a count of one or more")
+    if order < 2 or strength <= 0:
+        raise ValueError("n-grams have two words or more and the shorter history has a weight")
     spark = docs.sparkSession
     ship(spark)
     body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
-    rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("k"), F.coalesce(crc_bucket(F.col(f"`{key}`"), 7) == 2, F.lit(False)).alias("held_out"), body.alias("body"))
-    totals = cut(_count_words(rows.where(~F.col("held_out"))))
-    tokens, vocabulary = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    size = docs.agg(F.sum(F.octet_length(body))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("k", "body"), F.lit(blocks)).cast("int"))
-
-    def ask_words(table: pa.Table) -> pa.Table:
-        words = {END}
-        for x in table.column("body"):
-            words.update(space_words(x.as_py()))
-        return pa.table({"block": pa.array([table.column("block")[0].as_py()] * len(words), pa.int32()), "word": pa.array(list(words), pa.binary())})
-
-    def ask_grams(n: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-        """For a block's documents and answers, its n-grams of order n, each with its history and its places in training rows."""
-
+    held = F.coalesce(crc_bucket(F.col(f"`{key}`"), 7) == 2, F.lit(False))
+    folder = new_path(spark, "lm")
+    chunks = written(_chunks(docs.select(F.col(f"`{key}`").cast("bigint").alias("k"), held.alias("held"), body.alias("body")), chunk_tokens), f"{folder}/chunks", compression="zstd")
+    tokens = chunks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda s, x: s + x))).first()[0] or 0
+    # Ranges are small enough for a task's memory and many enough to spread over the shuffle's partitions.
+    parts = max(-(-tokens * 12 // RANGE_BYTES), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bits = max(1, (parts - 1).bit_length())
+
+    def ask_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                _, place, word, taught = _arrays(row)
+                level = None
+                for n in (1, 2):
+                    level = _level(n, row, place, word, taught, level)
+                    yield from _asked(n, level, row["chunk"], bits).to_batches()
+
+    def ask(n: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            names, histories, counts = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0)
-            if left.num_rows:
-                starts, levels = _levels(left.column("body"), right, n, least)
-                taught = np.repeat(~left.column("held_out").to_numpy(), np.diff(starts, append=len(levels[0].name)))
-                at = np.flatnonzero(levels[-1].asked)
-                names, first, inverse = np.unique(levels[-1].name[at], return_index=True, return_inverse=True)
-                histories, counts = levels[-2].name[at[first] - 1], np.bincount(inverse, taught[at], len(names))
-            block = left.column("block")[0].as_py() if left.num_rows else 0
-            return pa.table({"block": pa.array(np.full(len(names), block, np.int32)), "name": pa.array(names.view(np.int64)), "history": pa.array(histories.view(np.int64)), "n": pa.array(counts.astype(np.int64))})
+            if not left.num_rows:
+                return pa.table({"range": pa.array([], pa.int64()), "chunk": pa.array([], pa.int64()), "names": pa.array([], pa.binary()), "counts": pa.array([], pa.binary())})
+            row = left.to_pylist()[0]
+            *_, fresh = _levels(row, right, n - 1, bits)
+            return _asked(n, fresh(n), row["chunk"], bits)
 
         return run
 
-    none = F.lit(0).cast("bigint")
-    asked = dealt.groupBy("block").applyInArrow(ask_words, "block int, word binary")
-    # Spark's hash of one value is XXH64 of its bytes, and names the word in n-grams.
-    levels = [_written(asked.join(totals, "word").select("block", "word", F.xxhash64("word").alias("name"), "n"))]
-    shape = ["block", "word", "name", "n", "total", "followers"]
-    told: DataFrame | None = None
-    for n in range(2, order + 2):
-        if n <= order:
-            plain = levels[-1].withColumns({"total": none, "followers": none}).select(shape)
-            answers = plain if told is None else told.unionByName(plain)
-            grams = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask_grams(n), "block int, name bigint, history bigint, n bigint")
-            same = Window.partitionBy("name")
-            # Places are counted in every block that holds the n-gram; its first block stands for it among its history's.
-            counted = grams.select("block", "name", "history", F.sum("n").over(same).alias("n"), (F.min("block").over(same) == F.col("block")).alias("one"))
-            kept = _written(counted.select("block", "name", F.when(F.col("one"), F.col("history")).alias("history"), "n", "one").where(F.col("n") >= least))
-            follow = kept.where("one").groupBy(F.col("history").alias("name")).agg(F.sum("n").alias("total"), F.count("*").alias("followers"))
-            ended = levels[-1].join(follow, "name", "left").select("block", "word", "name", "n", F.coalesce("total", none).alias("total"), F.coalesce("followers", none).alias("followers"))
-            levels.append(kept.select("block", F.lit(None).cast("binary").alias("word"), "name", "n"))
-        else:
-            ended = levels[-1].withColumns({"total": none, "followers": none}).select(shape)
-        told = ended if told is None else told.unionByName(ended)
-    floor = tokens + vocabulary + 1
+    beside = lambda told: chunks.groupBy("chunk").cogroup(told.where("chunk is not null").select("range", "chunk", "shared", "totals").groupBy("chunk"))
+    answer = lambda asked, n: written(asked.groupBy("range").applyInArrow(_told, TELL), f"{folder}/told-{n}", compression="zstd")
+    told = first = answer(chunks.mapInArrow(ask_first, ASK), 2)
+    for n in range(3, order + 1):
+        told = told.union(answer(beside(told).applyInArrow(ask(n), ASK), n))
+    sums = first.where((F.shiftright("range", bits) == 1) & F.col("chunk").isNull()).agg(F.sum("places"), F.sum("distinct")).first()
+    taught, vocabulary = sums[0] or 0, sums[1] or 0
+    floor = taught + vocabulary + 1
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        names, kinds = ["k", "held_out", "n_tokens", "n_known", "base_score", "score"], [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         if not left.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=["k", "held_out", "n_tokens", "n_known", "base_score", "score"])
-        starts, levels = _levels(left.column("body"), right, order, least)
-        p = (levels[0].n + 1) / floor
-        base = np.add.reduceat(np.log10(p), starts)
-        inner = np.ones(len(p), bool)
-        inner[starts] = False
-        for short, level in zip(levels, levels[1:]):
-            # Tokens before which a history of this length is a state; a history never reaches over a text's start.
-            at = np.flatnonzero(inner[1:] & (short.followers[:-1] > 0)) + 1
-            count = short.n[at - 1]
-            weight = np.maximum(1 - (short.total[at - 1] - DISCOUNT * short.followers[at - 1]) / count, 1e-12)
-            p[at] = np.maximum(level.n[at] - DISCOUNT, 0) / count + weight * p[at]
-        lengths = np.diff(starts, append=len(p))
-        known = np.add.reduceat((levels[0].n > 0).astype(np.int64), starts)
-        return pa.table(
-            {"k": left.column("k"), "held_out": left.column("held_out"), "n_tokens": pa.array(lengths), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(np.add.reduceat(np.log10(p), starts))}
-        )
-
-    scored = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, "k bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
-    return scored.select(F.col("k").alias(key), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
+            return pa.table([pa.array([], t) for t in kinds], names=names)
+        row = left.to_pylist()[0]
+        starts, place, levels, _ = _levels(row, right, order, bits)
+        n = levels[0].n[levels[0].at]
+        p = (n + 1) / floor
+        base, known = np.add.reduceat(np.log10(p), starts), np.add.reduceat((n > 0).astype(np.int64), starts)
+        for shorter, level in zip(levels, levels[1:]):
+            # Where this history was not seen, its state doesn't exist and that of the shorter one decides.
+            history = np.zeros(len(p), np.int64)
+            history[1:] = shorter.n[shorter.at[:-1]]
+            history[starts] = 0
+            here = np.flatnonzero((history > 0) & (place >= 1))
+            p[here] = (level.n[level.at[here]] + strength * p[here]) / (history[here] + strength)
+        columns = [row["keys"], row["held"], row["sizes"], known, base, np.add.reduceat(np.log10(p), starts)]
+        return pa.table([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=names)
+
+    scored = beside(told).applyInArrow(score, "k bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    out = written(scored, f"{folder}/scores")
+    removed(spark, f"{folder}/chunks", *[f"{folder}/told-{n}" for n in range(2, order + 1)])
+    return out.select(F.col("k").alias(key), "held_out", "n_tokens", "n_known", F.lit(taught).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

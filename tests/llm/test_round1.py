@@ -16,21 +16,33 @@ from heddle.llm import linededup, lm, shards, simhash
 D = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 24, 900])
-def test_lm_keeps_rare_ngrams(spark, block_bytes):
-    """Every n-gram seen twice counts, whatever its share and whichever blocks hold it; the plain automaton agrees."""
+@pytest.mark.parametrize("chunk_tokens,order", [(200_000, 3), (60, 3), (1, 4)])
+def test_lm_keeps_every_ngram(spark, chunk_tokens, order):
+    """Every n-gram counts, however rare and whichever chunks hold it: the plain automaton over all of them and the plain recursion agree."""
     rnd = random.Random(5)
     texts = [" ".join(rnd.choice(["a", "b", "c", *(f"w{rnd.randrange(400)}" for _ in range(3))]) for _ in range(rnd.randint(0, 30))) for _ in range(150)]
-    texts += [f"rare{i} pair{i} here{i}" for i in range(40) for _ in range(2)]
+    texts += [f"rare{i} pair{i} here{i}" for i in range(40) for _ in range(2)] + [None, "", "a b", "a b"]
     rows = list(enumerate(texts))
-    got = {r.doc_id: r for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=block_bytes).collect()}
-    lists = {k: [*x.encode().split(), lm.END] for k, x in rows}
+    got = {r.doc_id: r for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), order=order, chunk_tokens=chunk_tokens).collect()}
+    lists = {k: [*(x or "").encode().split(), lm.END] for k, x in rows}
     taught = [w for k, w in lists.items() if zlib.crc32(str(k).encode()) % 7 != 2]
-    count = Counter(t for w in taught for t in w)
-    number = {w: i for i, w in enumerate(sorted(count))}
-    grams = Counter(tuple(number[t] for t in w[i : i + n]) for w in taught for n in (2, 3) for i in range(len(w) - n + 1))
-    machine = lm.build([(w, count[w]) for w in sorted(count)], {g: c for g, c in grams.items() if c >= 2}, sum(count.values()), len(count))
+    count = Counter(tuple(w[i : i + n]) for w in taught for n in range(1, order + 1) for i in range(len(w) - n + 1))
+    words = sorted(t[0] for t in count if len(t) == 1)
+    number = {w: i for i, w in enumerate(words)}
+    tokens = sum(map(len, taught))
+    machine = lm.build([(w, count[w,]) for w in words], {tuple(number[t] for t in g): c for g, c in count.items() if len(g) > 1}, tokens, len(words))
+
+    def p(history, word):
+        if not history:
+            return (count[word,] + 1) / (tokens + len(words) + 1)
+        seen = count[history]
+        shorter = p(history[1:], word)
+        return (count[*history, word] + lm.STRENGTH * shorter) / (seen + lm.STRENGTH) if seen else shorter
+
+    assert len(got) == len(rows)
     for k, w in lists.items():
+        plain = sum(math.log10(p(tuple(w[max(0, i - order + 1) : i]), t)) for i, t in enumerate(w))
+        assert math.isclose(got[k].score, plain, rel_tol=1e-9)
         assert math.isclose(got[k].score, got[k].base_score + machine.gain([number.get(t) for t in w]), rel_tol=1e-9)
 
 
