@@ -38,10 +38,12 @@ from .common import crc_bucket, read_table, ship, space_words
 ORDER = 3
 #: Weight of the shorter history, in tokens; held-out texts score best near it.
 STRENGTH = 32.0
-#: Tokens in a chunk, and bytes of names that one counting task gets.
-CHUNK_TOKENS, RANGE_BYTES = 200_000, 48 << 20
+#: Tokens in a chunk, bytes of names that one counting task gets, and ranges of names at least.
+CHUNK_TOKENS, RANGE_BYTES, RANGES = 300_000, 32 << 20, 64
+#: Parts in which names are asked for, one shuffle each, whose files go as soon as its answers are written.
+SLICES = 2
 #: Distinct words whose names a task remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 #: The end token; no word holds a white space.
 END = b"\n"
 
@@ -142,11 +144,21 @@ def _mix(history: np.ndarray, word: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-#: A chunk: its documents' keys, whether each is held out, its tokens, the chunk's distinct words' names
-#: in order (unsigned 64-bit) and every token's place among them (unsigned 32-bit).
+#: A chunk: its documents' keys, whether each is held out, its tokens, the names of the chunk's distinct words
+#: from the most frequent on (unsigned 64-bit) and every token's place among them (unsigned 32-bit, all
+#: lowest bytes first and so on, which packs well).
 CHUNK = "chunk bigint, keys array<bigint>, held array<boolean>, sizes array<int>, words binary, ids binary"
 
 
+def _planes(ids: np.ndarray) -> bytes:
+    return pa.compress(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _from_planes(data: bytes, n: int) -> np.ndarray:
+    plain = pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True)
+    return np.frombuffer(plain, np.uint8).reshape(4, n).T.copy().view("<u4").ravel()
+
+
 def _chunks(rows: DataFrame, chunk_tokens: int) -> DataFrame:
     """Rows (k, held, body) in chunks of at least `chunk_tokens` tokens; each task's last one may have fewer."""
 
@@ -157,8 +169,11 @@ def _chunks(rows: DataFrame, chunk_tokens: int) -> DataFrame:
         keys, held, tokens, n = [], [], [], 0
 
         def chunk() -> pa.RecordBatch:
-            words, ids = np.unique(np.concatenate(tokens), return_inverse=True)
-            columns = [[(part << 33) + made], [keys], [held], [[len(t) for t in tokens]], [words.tobytes()], [ids.astype("<u4").tobytes()]]
+            words, ids, counts = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+            falling = np.argsort(-counts, kind="stable")
+            rank = np.empty(len(words), np.int64)
+            rank[falling] = np.arange(len(words))
+            columns = [[(part << 33) + made], [keys], [held], [[len(t) for t in tokens]], [words[falling].tobytes()], [_planes(rank[ids])]]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in CHUNK.split(", ")])
 
@@ -195,37 +210,53 @@ class _Level:
     n: np.ndarray
 
 
-def _arrays(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a chunk: where texts start, each token's place in its text, its word's name, and 1 for training rows."""
-    sizes = np.array(row["sizes"], np.int64)
-    starts = np.cumsum(sizes) - sizes
-    place = np.arange(sizes.sum()) - np.repeat(starts, sizes)
-    word = np.frombuffer(row["words"], np.uint64)[np.frombuffer(row["ids"], "<u4")]
-    return starts, place, word, np.repeat(~np.array(row["held"], bool), sizes).astype(np.float64)
-
-
-def _level(n: int, row: dict, place: np.ndarray, word: np.ndarray, taught: np.ndarray, before: _Level | None) -> _Level:
-    """The chunk's n-grams of order n, before any answer."""
-    if before is None:
-        names, at = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["ids"], "<u4").astype(np.int64)
-        here = slice(None)
-    else:
-        here = np.flatnonzero(place >= n - 1)
-        names, inner = np.unique(_mix(before.names[before.at[here - 1]], word[here]), return_inverse=True)
-        at = np.full(len(place), len(names))
-        at[here] = inner
-    asked = np.ones(len(names), bool)
-    if before is not None and n > 2:
-        asked[:] = False
-        asked[at[here[before.shared[before.at[here - 1]] & before.shared[before.at[here]]]]] = True
-    counts = np.bincount(at[here], taught[here], len(names)).astype(np.int64)
-    return _Level(names, at, asked, np.zeros(len(names), bool), counts)
-
-
-def _ranges(level: _Level, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the asked names in order, the ranges of names that have any, and where these start among the places."""
+class _Chunk:
+    """A chunk's tokens in arrays: where texts start, each token's place in its text, whether its row teaches (1 or 0)."""
+
+    def __init__(self, row: dict) -> None:
+        sizes = np.array(row["sizes"], np.int64)
+        self.row, self.number = row, row["chunk"]
+        self.starts = np.cumsum(sizes) - sizes
+        self.place = np.arange(sizes.sum()) - np.repeat(self.starts, sizes)
+        self.taught = np.repeat(~np.array(row["held"], bool), sizes).astype(np.float64)
+        words = np.frombuffer(row["words"], np.uint64)
+        order = np.argsort(words)
+        rank = np.empty(len(words), np.int64)
+        rank[order] = np.arange(len(words))
+        self.words, self.at = words[order], rank[_from_planes(row["ids"], len(self.place))]
+
+    def level(self, n: int, before: _Level | None) -> _Level:
+        """The n-grams of order n, before any answer."""
+        here = np.flatnonzero(self.place >= n - 1)
+        if before is None:
+            names, at = self.words, self.at
+        else:
+            names, inner = np.unique(_mix(before.names[before.at[here - 1]], self.words[self.at[here]]), return_inverse=True)
+            at = np.full(len(self.place), len(names))
+            at[here] = inner
+        asked = np.ones(len(names), bool)
+        if n > 2:
+            asked[:] = False
+            asked[at[here[before.shared[before.at[here - 1]] & before.shared[before.at[here]]]]] = True
+        counts = np.bincount(at[here], self.taught[here], len(names)).astype(np.int64)
+        return _Level(names, at, asked, np.zeros(len(names), bool), counts)
+
+    def levels(self, told: pa.Table, order: int, bits: int) -> list[_Level]:
+        """The levels up to `order` with their answers."""
+        answers = {r: (s, t) for r, s, t in zip(told.column("range").to_pylist(), told.column("shared").to_pylist(), told.column("totals").to_pylist())}
+        levels: list[_Level] = []
+        for n in range(1, order + 1):
+            levels.append(_learned(n, self.level(n, levels[-1] if levels else None), answers, bits))
+        return levels
+
+
+def _ranges(level: _Level, bits: int, part: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the asked names in order (of one slice), the ranges of names that have any, and where these start among the places."""
     places = np.flatnonzero(level.asked)
     of = level.names[places] >> np.uint64(64 - bits)
+    if part is not None:
+        mine = of % np.uint64(SLICES) == part
+        places, of = places[mine], of[mine]
     starts = np.flatnonzero(np.diff(of, prepend=np.uint64(1 << bits)))
     return places, of[starts].astype(np.int64), starts
 
@@ -237,8 +268,8 @@ ASK = "range bigint, chunk bigint, names binary, counts binary"
 TELL = "range bigint, chunk bigint, shared binary, totals binary, places bigint, distinct bigint"
 
 
-def _asked(n: int, level: _Level, chunk: int, bits: int) -> pa.Table:
-    places, ranges, starts = _ranges(level, bits)
+def _asked(n: int, level: _Level, chunk: int, bits: int, part: int) -> pa.Table:
+    places, ranges, starts = _ranges(level, bits, part)
     ends = np.append(starts[1:], len(places))
     names, counts = level.names[places], level.n[places].astype("<u4")
     return pa.table({
@@ -285,17 +316,6 @@ def _learned(n: int, level: _Level, answers: dict[int, tuple[bytes, bytes]], bit
     return level
 
 
-def _levels(row: dict, told: pa.Table, order: int, bits: int) -> tuple[np.ndarray, np.ndarray, list[_Level], Callable[[int], _Level]]:
-    """Starts and places of a chunk's texts, its levels up to `order` with their answers, and the next one without."""
-    starts, place, word, taught = _arrays(row)
-    answers = {r: (s, t) for r, s, t in zip(told.column("range").to_pylist(), told.column("shared").to_pylist(), told.column("totals").to_pylist())}
-    levels: list[_Level] = []
-    fresh = lambda n: _level(n, row, place, word, taught, levels[-1] if levels else None)
-    for n in range(1, order + 1):
-        levels.append(_learned(n, fresh(n), answers, bits))
-    return starts, place, levels, fresh
-
-
 def score_documents(
     docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, strength: float = STRENGTH, chunk_tokens: int = CHUNK_TOKENS
 ) -> DataFrame:
@@ -315,34 +335,40 @@ def score_documents(
     folder = new_path(spark, "lm")
     chunks = written(_chunks(docs.select(F.col(f"`{key}`").cast("bigint").alias("k"), held.alias("held"), body.alias("body")), chunk_tokens), f"{folder}/chunks", compression="zstd")
     tokens = chunks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda s, x: s + x))).first()[0] or 0
-    # Ranges are small enough for a task's memory and many enough to spread over the shuffle's partitions.
-    parts = max(-(-tokens * 12 // RANGE_BYTES), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bits = max(1, (parts - 1).bit_length())
+    bits = (max(-(-tokens * 12 // RANGE_BYTES), RANGES) - 1).bit_length()
 
-    def ask_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                _, place, word, taught = _arrays(row)
-                level = None
-                for n in (1, 2):
-                    level = _level(n, row, place, word, taught, level)
-                    yield from _asked(n, level, row["chunk"], bits).to_batches()
-
-    def ask(n: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def ask_first(part: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    chunk = _Chunk(batch.slice(i, 1).to_pylist()[0])
+                    words = chunk.level(1, None)
+                    yield from _asked(1, words, chunk.number, bits, part).to_batches()
+                    yield from _asked(2, chunk.level(2, words), chunk.number, bits, part).to_batches()
+
+        return run
+
+    def ask(n: int, part: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             if not left.num_rows:
                 return pa.table({"range": pa.array([], pa.int64()), "chunk": pa.array([], pa.int64()), "names": pa.array([], pa.binary()), "counts": pa.array([], pa.binary())})
-            row = left.to_pylist()[0]
-            *_, fresh = _levels(row, right, n - 1, bits)
-            return _asked(n, fresh(n), row["chunk"], bits)
+            chunk = _Chunk(left.to_pylist()[0])
+            return _asked(n, chunk.level(n, chunk.levels(right, n - 1, bits)[-1]), chunk.number, bits, part)
 
         return run
 
     beside = lambda told: chunks.groupBy("chunk").cogroup(told.where("chunk is not null").select("range", "chunk", "shared", "totals").groupBy("chunk"))
-    answer = lambda asked, n: written(asked.groupBy("range").applyInArrow(_told, TELL), f"{folder}/told-{n}", compression="zstd")
-    told = first = answer(chunks.mapInArrow(ask_first, ASK), 2)
+
+    def answers(n: int, asked: Callable[[int], DataFrame]) -> DataFrame:
+        paths = [f"{folder}/told-{n}-{part}" for part in range(SLICES)]
+        for part, path in enumerate(paths):
+            written(asked(part).groupBy("range").applyInArrow(_told, TELL), path, compression="zstd")
+        return spark.read.schema(TELL).parquet(*paths)
+
+    told = first = answers(2, lambda part: chunks.mapInArrow(ask_first(part), ASK))
     for n in range(3, order + 1):
-        told = told.union(answer(beside(told).applyInArrow(ask(n), ASK), n))
+        before = told
+        told = before.union(answers(n, lambda part: beside(before).applyInArrow(ask(n, part), ASK)))
     sums = first.where((F.shiftright("range", bits) == 1) & F.col("chunk").isNull()).agg(F.sum("places"), F.sum("distinct")).first()
     taught, vocabulary = sums[0] or 0, sums[1] or 0
     floor = taught + vocabulary + 1
@@ -352,7 +378,8 @@ def score_documents(
         if not left.num_rows:
             return pa.table([pa.array([], t) for t in kinds], names=names)
         row = left.to_pylist()[0]
-        starts, place, levels, _ = _levels(row, right, order, bits)
+        chunk = _Chunk(row)
+        starts, place, levels = chunk.starts, chunk.place, chunk.levels(right, order, bits)
         n = levels[0].n[levels[0].at]
         p = (n + 1) / floor
         base, known = np.add.reduceat(np.log10(p), starts), np.add.reduceat((n > 0).astype(np.int64), starts)
@@ -368,7 +395,7 @@ def score_documents(
 
     scored = beside(told).applyInArrow(score, "k bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     out = written(scored, f"{folder}/scores")
-    removed(spark, f"{folder}/chunks", *[f"{folder}/told-{n}" for n in range(2, order + 1)])
+    removed(spark, f"{folder}/chunks", *[f"{folder}/told-{n}-{part}" for n in range(2, order + 1) for part in range(SLICES)])
     return out.select(F.col("k").alias(key), "held_out", "n_tokens", "n_known", F.lit(taught).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
