@@ -116,9 +116,9 @@ def test_simhash(spark, docs):
     assert {k: r.component_id for k, r in got.items()} == groups_of(prints, linked)
 
 
-@pytest.mark.parametrize("paired", [64, 2, 0])
-def test_links_find_everything(spark, paired):
-    """Dense clusters, with pairs and with whole balls."""
+@pytest.mark.parametrize("radius,parities", [(4, simhash.PARITIES), (4, ()), (2, (0x5555,)), (0, ())])
+def test_links_find_everything(spark, radius, parities):
+    """Dense clusters, whatever the slices."""
     rnd = random.Random(3)
     prints = set()
     for _ in range(12):
@@ -130,8 +130,8 @@ def test_links_find_everything(spark, paired):
             prints.add(x)
     signed = [x - (1 << 64) if x >> 63 else x for x in prints]
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    got = {r.node: r.component for r in graph.connected_components(simhash.links(df, paired=paired)).collect()}
-    linked = [(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 4]
+    got = {r.node: r.component for r in graph.connected_components(simhash.links(df, radius, parities)).collect()}
+    linked = [(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= radius]
     expected = {n: c for n, c in groups_of(signed, linked).items() if any(n in p for p in linked)}
     assert got == expected
 
@@ -362,11 +362,11 @@ def test_pipeline(spark, docs):
     assert len(left) < len(docs)
 
 
-def test_whole_balls_alone(spark):
-    """Without parts every fingerprint emits its whole ball; the links are the same."""
+def test_edges_are_links(spark):
+    """Every edge is a link, and two fingerprints alone have the edge."""
     rnd = random.Random(8)
-    prints = {rnd.getrandbits(62) for _ in range(20)}
-    prints |= {p ^ sum(1 << b for b in rnd.sample(range(62), rnd.randint(1, 5))) for p in list(prints)}
-    df = spark.createDataFrame([(x,) for x in prints], "fp long")
-    whole = {tuple(r) for r in simhash.links(df, parts=1).collect()}
-    assert whole == {(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 4}
+    prints = {rnd.getrandbits(62) for _ in range(40)}
+    pairs = {(p, p ^ sum(1 << b for b in rnd.sample(range(62), rnd.randint(1, 6)))) for p in prints}
+    df = spark.createDataFrame([(x,) for pair in pairs for x in pair], "fp long").distinct()
+    found = {tuple(r) for r in simhash.links(df).collect()}
+    assert found == {(min(p), max(p)) for p in pairs if (p[0] ^ p[1]).bit_count() <= 4}
