@@ -14,6 +14,7 @@ lanes estimates the cosine of their shingle counts (standard error 1/sqrt(128)):
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -85,47 +86,64 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _buckets(docs: DataFrame) -> DataFrame:
-    """Adds b, a bucket of consecutive keys, and repeats each bucket's first rows in the bucket before it (wrap 1).
+    """Adds b, a bucket of rows that follow each other in the order of k and h, and repeats each bucket's first rows in the bucket before it (wrap 1).
 
-    The bounds are quantiles of the keys; they and the buckets' first keys are a few numbers for each
-    shuffle partition, whatever the number of rows.
+    The bounds are quantiles of the keys. A key that holds several quantiles, and null, gets as many
+    buckets of its own, by ranges of the text's hash h, so a hot key is many buckets. Bounds and the
+    buckets' first rows are a few numbers for each shuffle partition, whatever the number of rows.
     """
     spark = docs.sparkSession
     n = max(2, min(MOST_BUCKETS, BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    cuts = docs.agg(F.percentile_approx("k", [i / n for i in range(1, n)], max(10_000, 20 * n))).first()[0] or []
-    cuts = sorted(set(cuts))
-    wide = max(1, math.isqrt(len(cuts)))
-    parts = [cuts[i : i + wide] for i in range(0, len(cuts), wide)]
-    if parts:
-        # Two steps of a square root's length find the bucket of a key.
-        number = lambda values: F.array(*[F.lit(v).cast("bigint") for v in values])
+    told = docs.agg(F.percentile_approx("k", [i / n for i in range(1, n)], max(10_000, 20 * n)).alias("cuts"), F.count_if(F.col("k").isNull()).alias("nulls"), F.count("*").alias("rows")).first()
+    times = Counter(told.cuts or [])
+    nulls = 1 + told.nulls * n // max(1, told.rows)
+    # Per bound: the key, its buckets, and the number of the first of them; before these come the nulls' buckets and that of the keys below all bounds.
+    bounds, at = [], nulls + 1
+    for key in sorted(times):
+        bounds.append((key, times[key], at))
+        at += times[key] + 1 if times[key] > 1 else 1
+    share = F.col("h") / F.lit(2.0**64) + 0.5
+    part = lambda count: F.least(F.floor(share * count).cast("int"), (count - 1).cast("int"))
+    bucket = F.lit(nulls)
+    if bounds:
+        # Two steps of a square root's length find the last bound up to a key.
+        wide = max(1, math.isqrt(len(bounds)))
+        table = lambda j, kind: [[b[j] for b in bounds[i : i + wide]] for i in range(0, len(bounds), wide)]
+        number = lambda values, kind: F.array(*[F.lit(v).cast(kind) for v in values])
+        two = lambda j, kind: F.array(*[number(row, kind) for row in table(j, kind)])
         upto = lambda a: F.size(F.filter(a, lambda x: x <= F.col("k")))
-        i = upto(number([p[0] for p in parts]))
-        bucket = F.when(i == 0, 0).otherwise((i - 1) * wide + upto(F.get(F.array(*[number(p) for p in parts]), i - 1)))
-    else:
-        bucket = F.lit(0)
-    bucketed = docs.withColumn("b", F.coalesce(bucket, F.lit(0)))
-    firsts = {r.b: None if r.nulls else r.k for r in bucketed.groupBy("b").agg(F.min("k").alias("k"), F.max(F.col("k").isNull()).alias("nulls")).collect()}
+        docs = docs.withColumn("i", upto(number([row[0] for row in table(0, "bigint")], "bigint")) - 1)
+        docs = docs.withColumn("j", F.when(F.col("i") >= 0, upto(F.get(two(0, "bigint"), F.col("i"))) - 1))
+        of = lambda j, kind: F.get(F.get(two(j, kind), F.col("i")), F.col("j"))
+        docs = docs.withColumns({"bound": of(0, "bigint"), "many": of(1, "int"), "at": of(2, "int")})
+        after = F.when(F.col("many") == 1, F.col("at")).when(F.col("k") == F.col("bound"), F.col("at") + part(F.col("many"))).otherwise(F.col("at") + F.col("many"))
+        bucket = F.when(F.col("i") < 0, F.lit(nulls)).otherwise(after)
+    bucket = F.when(F.col("k").isNull(), part(F.lit(nulls))).otherwise(bucket)
+    bucketed = docs.select("k", "h", "body", bucket.cast("int").alias("b"))
+    row = F.struct(F.col("k").isNotNull().alias("known"), "k", "h")
+    firsts = {r.b: (r.f.k, r.f.h) for r in bucketed.groupBy("b").agg(F.min(row).alias("f")).collect()}
     used = sorted(firsts)
-    before = {b: used[i - 1] for i, b in enumerate(used)}
     top = (used[-1] + 1) if used else 1
-    first = F.get(F.array(*[F.lit(firsts.get(b)).cast("bigint") for b in range(top)]), F.col("b"))
-    prior = F.get(F.array(*[F.lit(before.get(b, 0)).cast("int") for b in range(top)]), F.col("b"))
+    before = {b: used[i - 1] for i, b in enumerate(used)}
+    look = lambda values, kind: F.get(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("b"))
+    first = F.col("k").eqNullSafe(look([firsts.get(b, (None, None))[0] for b in range(top)], "bigint")) & (F.col("h") == look([firsts.get(b, (None, None))[1] for b in range(top)], "bigint"))
+    prior = look([before.get(b, 0) for b in range(top)], "int")
     place = lambda b, wrap: F.struct(b.cast("int").alias("b"), F.lit(wrap).alias("wrap"))
-    places = F.when(F.col("k").eqNullSafe(first), F.array(place(F.col("b"), 0), place(prior, 1))).otherwise(F.array(place(F.col("b"), 0)))
-    return bucketed.select("k", "body", F.explode(places).alias("p")).select("k", "body", "p.b", "p.wrap")
+    places = F.when(first, F.array(place(F.col("b"), 0), place(prior, 1))).otherwise(F.array(place(F.col("b"), 0)))
+    return bucketed.select("k", "h", "body", F.explode(places).alias("p")).select("k", "h", "body", "p.b", "p.wrap")
 
 
 def document_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`key`, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
 
     The next document is the one with the next larger key (null keys come first, rows that share a key
-    are ordered by text, and after the last comes the first); the edited text has the last quarter of
+    are ordered by a hash of the text, and after the last comes the first); the edited text has the last quarter of
     the code points replaced by as many of the next document's first ones. A null text counts as
     empty. Repeated rows give a row each. `key` is an integer column; other columns may have any name.
     """
     source = docs.select(F.col(f"`{key}`").cast("bigint").alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body"))
-    order = Window.partitionBy("b").orderBy("wrap", F.asc_nulls_first("k"), "body")
+    source = source.select("k", F.xxhash64("body").alias("h"), "body")
+    order = Window.partitionBy("b").orderBy("wrap", F.asc_nulls_first("k"), "h", "body")
     rows = _buckets(source).withColumns({"next": F.lead("body").over(order), "r": F.row_number().over(order)})
     length = F.char_length("body")
     quarter = F.floor(length / 4).cast("int")
