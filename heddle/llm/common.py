@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..runtime import cut, ship
 
-__all__ = ["LOWER", "UPPER", "alnum_words", "ascii_lower", "crc_bucket", "cut", "map_texts", "read_table", "ship", "space_words"]
+__all__ = ["LOWER", "UPPER", "alnum_words", "ascii_lower", "crc_bucket", "cut", "free_names", "map_texts", "read_table", "ship", "space_words"]
 
 #: ASCII upper-case letters and their lower-case forms.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -47,6 +47,17 @@ def space_words(data: bytes | None) -> list[bytes]:
     return data.lower().split() if data else []
 
 
+def free_names(keep: Sequence[str], results: Sequence[str]) -> list[str]:
+    """Names for kept columns: their own, with _doc at the end of those that clash with results or with each other."""
+    taken, out = {r.lower() for r in results}, []
+    for name in keep:
+        while name.lower() in taken:
+            name = f"{name}_doc"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def map_texts(
     df: DataFrame,
     text: str,
@@ -57,18 +68,16 @@ def map_texts(
     """Columns `keep`, then for every row the tuple that a function returns for its text.
 
     `make` runs once in each task and returns the function; it gets UTF-8 bytes, or None for null.
-    Rows pass in Arrow batches that Spark bounds by rows and by bytes; nothing is shuffled.
+    Rows pass in Arrow batches bounded by rows and by bytes; nothing is shuffled. A kept column named
+    like a result gets _doc at its end.
     """
-    clash = {k.lower() for k in keep} & {n.lower() for n, _ in fields}
-    if clash:
-        raise ValueError(f"kept columns clash with results: {sorted(clash)}")
     ship(df.sparkSession)
     inner = [f"_k{i}" for i in range(len(keep))]
     columns = [F.col(f"`{k}`").alias(i) for k, i in zip(keep, inner)]
     # A text that is kept anyway crosses to Python once; its bytes are read in place.
     at = list(keep).index(text) if text in keep and df.schema[text].dataType == T.StringType() else len(keep)
     source = df.select(*columns, *([F.col(f"`{text}`").cast("binary").alias("_t")] if at == len(keep) else []))
-    kept = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keep])
+    kept = T.StructType([T.StructField(n, df.schema[k].dataType) for n, k in zip(free_names(keep, [n for n, _ in fields]), keep, strict=True)])
     schema = T.StructType(kept.fields + [T.StructField(n, t) for n, t in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
