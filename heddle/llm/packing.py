@@ -17,12 +17,14 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import new_path, written
 from .bpe import parse_ranks, shared_codec
 from .common import read_table, ship
 
 #: Tokens in a row, and tokens that are packed together. A block's last rows alone have room to spare.
 ROW_TOKENS, BLOCK_TOKENS = 2048, 4_000_000
-#: Characters up to which a text goes to tiktoken, whose pattern search gives up on very long runs; longer ones go to operator 10's encoder.
+#: Characters up to which a text goes to tiktoken, whose pattern search gives up on very long runs; longer ones go to
+#: operator 10's encoder. Both give the same ids, so this is a choice of time alone.
 FAST_CHARS = 500_000
 
 
@@ -32,7 +34,7 @@ def _fast(data: bytes, pattern: str) -> tiktoken.Encoding:
 
 
 class Room:
-    """Open rows by their room; a segment tree of maxima tells the smallest room that suffices."""
+    """Open rows by their room; a segment tree that counts them tells the smallest room that suffices."""
 
     def __init__(self, most: int) -> None:
         self.size = 1 << most.bit_length()
@@ -87,7 +89,7 @@ SCHEMA = (
 )
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", row_tokens: int = ROW_TOKENS, block_tokens: int = BLOCK_TOKENS, pad_id: int = 50256, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", row_tokens: int = ROW_TOKENS, block_tokens: int = BLOCK_TOKENS, pad_id: int = 50256, vocabulary: str | None = None, pattern: str | None = None, fast_chars: int = FAST_CHARS) -> DataFrame:
     """Packed rows of token ids.
 
     input_ids holds row_tokens little-endian unsigned 32-bit ids, padded with pad_id after n_tokens;
@@ -96,7 +98,9 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", row_tokens: i
     each segment is from, at which token of it, and how many tokens the document has, so documents can
     be put together again. Longer documents are split at multiples of row_tokens. Null and empty texts
     have no tokens and get one entry with a zero-length segment in a row of their own kind, so no
-    document is lost. Rows of a block depend on the scan's splits; all documents are packed.
+    document is lost. Documents that repeat are packed each for itself, and pieces of equal length go in
+    the order of the scan; an empty table gives no row. Other columns may have any name. Which documents
+    share a block depends on the scan's splits; write_packed fixes it.
     """
     ship(docs.sparkSession)
     codec, shared, pattern = shared_codec(docs.sparkSession, vocabulary, pattern)
@@ -108,7 +112,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", row_tokens: i
 
         def encode(text: str) -> bytes:
             # Both give the same ids; the library is the faster one.
-            return fast.encode_to_numpy(text).astype("<u4").tobytes() if len(text) <= FAST_CHARS else codec().encode(text)
+            return fast.encode_to_numpy(text).astype("<u4").tobytes() if len(text) <= fast_chars else codec().encode(text)
 
         def packed(block: list[tuple[int | None, bytes]]) -> Iterator[pa.RecordBatch]:
             nonlocal made
@@ -154,6 +158,11 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", row_tokens: i
     return docs.select(F.col(f"`{key}`").cast("bigint"), F.col(f"`{text}`").cast("binary")).mapInArrow(run, SCHEMA)
 
 
+def write_packed(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """Writes the packed rows of pack() as Parquet and returns them as they stand there: id matrix, cumulative lengths, resets."""
+    return written(pack(docs, key, text, **options), path)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All whole documents in packed rows of token ids."""
-    return pack(read_table(spark, sf_dir, "documents"))
+    """All whole documents in packed rows of token ids, as written to the shared folder, where they stay."""
+    return write_packed(read_table(spark, sf_dir, "documents"), new_path(spark, "packed"))
