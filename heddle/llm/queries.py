@@ -33,22 +33,22 @@ from d left join n on d.doc_id = n.doc_id left join it on d.doc_id = it.doc_id""
 
 
 def _op6() -> str:
+    """Every vote's diagonal starts a band; the votes within the drift from it are counted by template position."""
     rows = []
     for tid, (text, label, base) in enumerate([(*p, "true") for p in licenses.PHRASES] + [(*t, "false") for t in licenses.TEMPLATES]):
         w = text.split()
         grams = [" ".join(w[i : i + licenses.K]) for i in range(len(w) - licenses.K + 1)]
-        rows += [f"('{g}', {i}, {tid}, '{label}', {base}, {len(grams)})" for i, g in enumerate(grams)]
+        far = 0 if base == "true" else licenses.drift(len(w))
+        rows += [f"('{g}', {i}, {tid}, '{label}', {base}, {len(grams)}, {far})" for i, g in enumerate(grams)]
     return f"""
-with t(gram, tpos, tid, label, base, grams) as (values {', '.join(rows)}),
+with t(gram, tpos, tid, label, base, grams, drift) as (values {', '.join(rows)}),
 d as (select doc_id, {_WORDS} as w from documents),
 g as (select doc_id, k - 1 as pos, array_to_string(w[k:k + {licenses.K - 1}], ' ') as gram from d, range(1, len(w) - {licenses.K - 2}) as r(k)),
-v as (select doc_id, tid, label, base, grams, pos - tpos as diagonal, count(*) as n, min(pos) as lo, max(pos) as hi from g join t on g.gram = t.gram group by all),
-gap as (select *, case when coalesce(diagonal - lag(diagonal) over (partition by doc_id, tid order by diagonal) <= case when base then 0 else {licenses.APART} end, false) then 0 else 1 end as fresh from v),
-band as (select *, sum(fresh) over (partition by doc_id, tid order by diagonal) as band from gap),
-s as (select doc_id, tid, label, base, grams, band, sum(n) as n, min(diagonal) as diagonal, min(lo) as lo, max(hi) as hi from band group by all),
-h as (select *, least(n / cast(grams as double), 1.0) as hit from s),
-o as (select *, case when base then n = grams else hit >= {licenses.SHARE} and hi - lo + 1 <= grams * {licenses.STRETCH} + {licenses.APART} end as ok from h),
-a as (select doc_id, count(*) filter (ok and base) as n_base, min(diagonal) filter (ok and base) as first_word, max(diagonal) filter (ok and base) as last_word,
+v as (select doc_id, tid, label, base, grams, drift, tpos, pos - tpos as diagonal from g join t on g.gram = t.gram),
+s as (select doc_id, tid, label, base, grams, diagonal as start_, drift from v group by all),
+h as (select s.doc_id, s.tid, s.label, s.base, s.start_, count(distinct v.tpos) / cast(s.grams as double) as hit from s join v on s.doc_id = v.doc_id and s.tid = v.tid and v.diagonal between s.start_ and s.start_ + s.drift group by s.doc_id, s.tid, s.label, s.base, s.start_, s.grams),
+o as (select *, hit >= case when base then 1.0 else {licenses.SHARE} end as ok from h),
+a as (select doc_id, count(*) filter (ok and base) as n_base, min(start_) filter (ok and base) as first_word, max(start_) filter (ok and base) as last_word,
   max(hit) filter (ok or not base) as score from o group by 1),
 b as (select doc_id, string_agg(label, ',' order by label) as base_labels from (select distinct doc_id, label from o where ok and base) group by 1),
 l as (select doc_id, string_agg(label, ',' order by label) as labels from (select distinct doc_id, label from o where ok) group by 1)
@@ -57,7 +57,7 @@ from d left join a on d.doc_id = a.doc_id left join b on d.doc_id = b.doc_id lef
 
 
 _OP7 = f"""
-with l as (select doc_id, k - 1 as pos, s[k] as line, len(regexp_extract_all(s[k], '[^\\x20\\x09-\\x0D]+')) as w from (select doc_id, string_split(text, chr(10)) as s from documents), range(1, len(s) + 1) as t(k)),
+with l as (select doc_id, k - 1 as pos, s[k] as line, len(regexp_extract_all(s[k], '[^\\x20\\x09-\\x0D]+')) as w from (select doc_id, string_split(text, chr(10)) as s from documents where text is not null), range(1, len(s) + 1) as t(k)),
 c as (select *, sum(w) over (partition by doc_id order by pos) as c1 from l),
 fore as (select a.doc_id, a.pos, min(b.pos) as e from c a join c b on a.doc_id = b.doc_id and b.pos >= a.pos and b.c1 >= a.c1 - a.w + {linededup.MIN_WORDS} group by 1, 2),
 back as (select b.doc_id, max(a.pos) as pos, b.pos as e from c a join c b on a.doc_id = b.doc_id and a.pos <= b.pos and a.c1 - a.w <= b.c1 - {linededup.MIN_WORDS} group by b.doc_id, b.pos),
@@ -66,8 +66,9 @@ body as (select win.doc_id, win.pos, win.e, string_agg(c.line, chr(10) order by
 ranked as (select *, row_number() over (partition by lines, e - pos order by doc_id, pos) as n from body),
 gone as (select distinct doc_id, unnest(range(pos, e + 1)) as pos from ranked where n > 1),
 runs as (select doc_id, min(pos) as a, max(pos) as b from (select doc_id, pos, pos - row_number() over (partition by doc_id order by pos) as island from gone) group by doc_id, island),
-told as (select doc_id, string_agg(a || '-' || b, ',' order by a) as deleted_runs from runs group by 1)
-select c.doc_id, count(*) as n_lines, count(gone.pos) as n_deleted, coalesce(any_value(told.deleted_runs), '') as deleted_runs, coalesce(string_agg(c.line, chr(10) order by c.pos) filter (gone.pos is null), '') as text
-from c left join gone on c.doc_id = gone.doc_id and c.pos = gone.pos left join told on c.doc_id = told.doc_id group by c.doc_id"""
+told as (select doc_id, string_agg(a || '-' || b, ',' order by a) as deleted_runs from runs group by 1),
+left_ as (select c.doc_id, count(*) as n_lines, count(gone.pos) as n_deleted, coalesce(any_value(told.deleted_runs), '') as deleted_runs, coalesce(string_agg(c.line, chr(10) order by c.pos) filter (gone.pos is null), '') as text
+from c left join gone on c.doc_id = gone.doc_id and c.pos = gone.pos left join told on c.doc_id = told.doc_id group by c.doc_id)
+select doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_deleted, 0) as n_deleted, coalesce(deleted_runs, '') as deleted_runs, left_.text as text from (select doc_id from documents) left join left_ using (doc_id)"""
 
 ORACLE_SQL = {"op3_decontamination": _OP3, "op6_license_scan": _op6(), "op7_line_dedup": _OP7}
