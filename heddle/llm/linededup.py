@@ -1,15 +1,17 @@
 """Operator 7: removal of repeated line runs. DataFrame functions only.
 
-Prefix doubling ranks the suffixes of all documents' line sequences: a line's rank is that of its
-class, and the rank of 2^j lines comes from the pair of ranks of their halves. A suffix goes on only
-while its prefix occurs at least twice. The prefix of any length m that lies between 2^j and 2^(j+1)
-is then named by two overlapping blocks, the one that begins it and the one that ends it, so all
-suffixes whose longest common prefix reaches m, an interval of the suffix array, share one name.
-Ranks are numbers of classes; which class sorts first has no bearing on the intervals.
-
-A run counts if it has at least `min_words` words. Every run that counts is the union of the shortest
-counting prefixes at its lines and the shortest counting suffixes of its lines, so only those lengths
-are looked up, and doubling stops at the longest of them.
+Prefix doubling builds the suffix array of all documents' line sequences. Lines are ranked in the order
+of their ids, and the rank of 2^j lines comes from the pair of ranks of their halves: the pairs are
+sorted by range partitions and numbered in order, so at every level suffixes with a greater prefix have a
+greater rank and those that agree share one. Only suffixes whose prefix occurs at least twice go on, so
+each level holds the suffix array's intervals with a common prefix of 2^j lines or more. The interval
+with a common prefix of any length m between 2^j and 2^(j+1) is named by two overlapping blocks of 2^j
+lines, the one that begins the prefix and the one that ends it. The interval's first member in the
+corpus keeps the run, and the later copies are deleted.
+
+A run counts if it has at least `min_words` words. A maximal repeated run that counts is the union of
+the shortest counting prefixes at its lines and the shortest counting suffixes of its lines, so only the
+intervals of those lengths are looked up, and doubling stops at the longest of them.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, read_table
+from .common import cut, free_names, read_table
 
 MIN_WORDS = 1
 ROW = ["k", "t"]
@@ -34,8 +36,12 @@ def _with_row_key(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _ranked(pairs: DataFrame, by: list[str], name: str = "rank") -> DataFrame:
-    """Ranks of the classes with at least two members; fixed by a checkpoint before they are used."""
-    return cut(pairs.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").select(*by, F.monotonically_increasing_id().alias(name)))
+    """Ranks, in the order of `by`, of the classes with at least two members; fixed by a checkpoint before they are used.
+
+    The sort deals classes to partitions by range, and the numbers grow with the partition and within it.
+    """
+    classes = pairs.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").select(*by)
+    return cut(classes.orderBy(*by).withColumn(name, F.monotonically_increasing_id()))
 
 
 def _repeated_lines(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
@@ -107,6 +113,27 @@ def _left(lines: Column, runs: Column) -> Column:
     return F.filter(lines, lambda line, i: ~F.exists(runs, lambda r: (i >= r["start"]) & (i <= r["end"])))
 
 
+RESULTS = ("n_lines", "n_deleted", "deleted_runs")
+
+
+def _deduped(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
+    """The columns of `docs` as c0, c1, ... with what is left of the text, then the RESULTS."""
+    runs = later_copies(docs, key, text, min_words).withColumnsRenamed({"k": "rk", "t": "rt"})
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    k, t = (names[docs.columns.index(c)] for c in (key, text))
+    keyed = _with_row_key(docs.toDF(*names), k, t)
+    joined = keyed.join(runs, (F.col("k") == F.col("rk")) & (F.col("t") == F.col("rt")), "left")
+    lines = F.split(t, "\n")
+    new = F.when(F.col("runs").isNull(), F.col(t)).otherwise(F.array_join(_left(lines, F.col("runs")), "\n"))
+    count = F.aggregate("runs", F.lit(0).cast("bigint"), lambda n, r: n + (r["end"] - r["start"] + 1))
+    return joined.select(
+        *[new.alias(n) if n == t else F.col(n) for n in names],
+        F.when(F.col(t).isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias("n_lines"),
+        F.coalesce(count, F.lit(0)).cast("bigint").alias("n_deleted"),
+        F.coalesce("runs", F.array().cast("array<struct<start:int,end:int>>")).alias("deleted_runs"),
+    )
+
+
 def dedupe_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The columns of `docs` with the text's later copies of repeated line runs deleted, then n_lines, n_deleted and deleted_runs.
 
@@ -114,28 +141,23 @@ def dedupe_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_w
     text) has the same lines, if it has at least `min_words` words; overlapping runs merge, and a
     line's first place in the corpus always stays. `key` is an integer column. A null text stays null
     and has no lines; an empty text is one empty line. Rows that repeat both key and text are the same
-    document and are treated alike. Result columns replace columns of `docs` with the same names.
+    document and are treated alike; of rows that share a key alone, that with the smaller hash of its
+    text comes first. Columns of `docs` may have any name; one named like a result gets _doc at its end.
     """
-    runs = later_copies(docs, key, text, min_words).withColumnsRenamed({"k": "_k", "t": "_t", "runs": "_runs"})
-    plain = docs.drop("n_lines", "n_deleted", "deleted_runs")
-    keyed = _with_row_key(plain, key, text) if not {"k", "t"} & {c.lower() for c in plain.columns} else None
-    if keyed is None:
-        renamed = {c: f"_own_{c}" for c in plain.columns}
-        keyed = _with_row_key(plain.withColumnsRenamed(renamed), renamed[key], renamed[text])
-        name = renamed.get
-    else:
-        name = lambda c: c
-    joined = keyed.join(runs, (F.col("k") == F.col("_k")) & (F.col("t") == F.col("_t")), "left")
-    body = F.col(f"`{name(text)}`")
-    lines = F.split(body, "\n")
-    new = F.when(F.col("_runs").isNull(), body).otherwise(F.array_join(_left(lines, F.col("_runs")), "\n"))
-    count = F.aggregate("_runs", F.lit(0).cast("bigint"), lambda n, r: n + (r["end"] - r["start"] + 1))
-    return joined.select(
-        *[(new if c == text else F.col(f"`{name(c)}`")).alias(c) for c in plain.columns],
-        F.when(body.isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias("n_lines"),
-        F.coalesce(count, F.lit(0)).cast("bigint").alias("n_deleted"),
-        F.coalesce("_runs", F.array().cast("array<struct<start:int,end:int>>")).alias("deleted_runs"),
-    )
+    return _deduped(docs, key, text, min_words).toDF(*free_names(docs.columns, RESULTS), *RESULTS)
+
+
+def keep_left(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, length: str = "n_chars") -> DataFrame:
+    """`docs`, in its own columns, with what dedupe_lines leaves of the texts, and without the rows whose lines were all deleted.
+
+    Rows from which nothing was deleted stay, null and empty texts among them. A column `length` follows
+    the text where there is one; null where the text is.
+    """
+    left = _deduped(docs, key, text, min_words).where((F.col("n_deleted") == 0) | (F.col("n_deleted") < F.col("n_lines")))
+    body = F.col(f"c{docs.columns.index(text)}")
+    # Only a text that was changed gets a new length.
+    new = lambda i, f: F.when(F.col("n_deleted") > 0, F.char_length(body).cast(f.dataType)).otherwise(F.col(f"c{i}"))
+    return left.select(*[(new(i, f) if f.name == length and length != text else F.col(f"c{i}")).alias(f.name) for i, f in enumerate(docs.schema)])
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
