@@ -26,7 +26,9 @@ from pyspark.sql import types as T
 from .common import map_texts, read_table
 
 #: Words kept with their ids, and the longest such word.
-CACHE_WORDS, CACHE_CHARS = 300_000, 48
+CACHE_WORDS, CACHE_CHARS = 100_000, 48
+#: Pairs of neighbours remembered.
+CACHE_PAIRS = 500_000
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
@@ -125,6 +127,8 @@ class BytePairCodec:
             else:
                 before = 2 * right + 2
                 right = self.halves[right][0]
+        if len(self.allowed) >= CACHE_PAIRS:
+            self.allowed.clear()
         self.allowed[key] = good
         return good
 
@@ -208,7 +212,8 @@ def encode_documents(docs: DataFrame, keep: list[str], text: str = "text", vocab
     """`keep`, n_tokens, ids (little-endian unsigned 32-bit integers, if asked for), ids_sha256, decoded_sha256 of every text.
 
     A null text counts as empty: no ids, the hashes of no bytes. Texts of any length are encoded whole.
-    Repeated rows give repeated results; other columns may have any name.
+    Repeated rows give repeated results. Columns may have any name; a kept one named like a result gets
+    _doc at its end.
     """
     codec, _, _ = shared_codec(docs.sparkSession, vocabulary, pattern)
 
