@@ -15,6 +15,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from heddle.llm import bpe, decontaminate, fingerprint, graph, langid, licenses, linededup, lm, packing, shards, simhash
@@ -49,7 +50,8 @@ def groups_of(nodes, linked):
 
 def test_fingerprints(spark, docs):
     got = {r.doc_id: r for r in fingerprint.op1_fingerprints(spark, D).collect()}
-    near = []
+    near, lanes = [], {}
+    cosine = lambda a, b: 0.0 if not (a @ a and b @ b) else min(1.0, max(0.0, (a @ b) / math.sqrt((a @ a) * (b @ b))))
     for i, (k, x) in enumerate(docs):
         following = docs[(i + 1) % len(docs)][1]
         m = len(x) // 4
@@ -57,6 +59,10 @@ def test_fingerprints(spark, docs):
         assert (got[k].n_chars, got[k].edited_sha256) == (len(x), hashlib.sha256(edited.encode()).hexdigest())
         assert got[k].fingerprint == plain_fingerprint(x)
         assert got[k].edited_fingerprint == plain_fingerprint(edited)
+        for t in (x, following, edited):
+            lanes.setdefault(t, plain_signs(t))
+        assert math.isclose(got[k].near_edited, 1.0 if plain_fingerprint(edited) == plain_fingerprint(x) else cosine(lanes[x], lanes[edited]), abs_tol=1e-9)
+        assert math.isclose(got[k].near_next, 1.0 if plain_fingerprint(following) == plain_fingerprint(x) else cosine(lanes[x], lanes[following]), abs_tol=1e-9)
         near.append((got[k].near_edited, got[k].near_next, len(x)))
     long = [(a, b) for a, b, n in near if n > 300]
     assert np.mean([a for a, _ in long]) > 0.65 and np.mean([b for _, b in long]) < 0.15
@@ -85,6 +91,13 @@ def plain_fingerprint(text):
     return "".join(f"{e & 0xFFFFFFFF:08x}" for e in equal) + "".join(f"{p:016x}" for p in pairs)
 
 
+def plain_signs(text):
+    """Twice each bit's count less the number of shingles, from the fingerprint's pairs of lanes."""
+    pairs = [int(plain_fingerprint(text)[64 + 16 * i : 80 + 16 * i], 16) for i in range(64)]
+    n = sum(len(para.split(" ")) for para in text.split("\n"))
+    return np.array([2 * (p & 0xFFFFFFFF) - n for p in pairs] + [2 * (p >> 32) - n for p in pairs], float)
+
+
 def spark_int(value, seed=42):
     """XXH64 of four bytes."""
     return xxhash.xxh64_intdigest(value.to_bytes(4, "little"), seed)
@@ -166,12 +179,45 @@ def test_decontamination(spark, docs):
 
 
 def test_decontamination_in_blocks(spark):
-    """A benchmark that is split over several automata gives the same."""
+    """A benchmark that is dealt over several automata gives the same, spans included; long items are cut without losing a window."""
     docs = spark.read.parquet(f"{D}/documents.parquet")
     items = spark.read.parquet(f"{D}/benchmark.parquet")
-    one = decontaminate.contamination(docs, items, ["doc_id"]).drop("spans")
-    many = decontaminate.contamination(docs, items, ["doc_id"], block_bytes=500).drop("spans")
-    assert one.exceptAll(many).isEmpty() and many.count() == one.count()
+    one = {r.doc_id: r for r in decontaminate.contamination(docs, items, ["doc_id"]).collect()}
+    size = sum(len(r.text or "") for r in items.collect())
+    many = {r.doc_id: r for r in decontaminate.contamination(docs, items, ["doc_id"], block_bytes=size // 4).collect()}
+    assert one == many and any(r.contaminated for r in one.values())
+    whole = items.agg(F.concat_ws(" ", F.collect_list("text")).alias("text")).withColumn("item_id", F.lit("all"))
+    a = {r.doc_id: (r.n_hit, r.spans) for r in decontaminate.contamination(docs, whole, ["doc_id"]).collect()}
+    b = {r.doc_id: (r.n_hit, r.spans) for r in decontaminate.contamination(docs, whole, ["doc_id"], block_bytes=size // 3).collect()}
+    assert a == b
+
+
+def test_windows_against_plain():
+    """Random items and texts over few words, for several windows."""
+    rnd = random.Random(1)
+    for _ in range(400):
+        window = rnd.choice([2, 3, 4, 5, 10])
+        items = [(str(i % 4), [rnd.choice([b"a", b"b", b"c", b"d"]) for _ in range(rnd.randint(0, 25))]) for i in range(rnd.randint(0, 6))]
+        text = [rnd.choice([b"a", b"b", b"c", b"d", b"x"]) for _ in range(60)]
+        hit, names = set(), set()
+        for name, item in items:
+            for i in range(max(1, len(item) - window + 1) if item else 0):
+                part = item[i : i + window]
+                for j in range(len(text) - len(part) + 1):
+                    if text[j : j + len(part)] == part:
+                        hit |= set(range(j, j + len(part)))
+                        names.add(name)
+        runs, found = decontaminate.Windows(items, window).scan(text)
+        assert {x for a, b in runs for x in range(a, b)} == hit and found == names
+
+
+def test_windows_with_many_words():
+    """More distinct words than there are characters; each automaton is built once for its task."""
+    items = [(str(i), [b"w%d" % (100 * i + j) for j in range(100)]) for i in range(12_000)]
+    windows = decontaminate.Windows(items, 10)
+    assert len(windows.code) == 1_200_000
+    assert windows.scan([b"w%d" % k for k in range(1_150_005, 1_150_030)]) == ([(0, 25)], {"11500"})
+    assert windows.scan([b"w5", b"w7"] * 20) == ([], set())
 
 
 def test_language_held_out(spark):
