@@ -25,7 +25,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def _load() -> None:
-    from . import catalog_keys, catalog_linkage, catalog_tables  # noqa: F401
+    from . import catalog_cascade, catalog_keys, catalog_linkage, catalog_tables  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

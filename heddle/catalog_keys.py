@@ -139,7 +139,29 @@ def reverse_soundex_keys(spark: SparkSession, d: str) -> DataFrame:
     return people(spark, d).select("record_id", reverse_soundex(F.col("last_name")).alias("key"))
 
 
-@query()
+_NAMES_SQL = "select first_name as n from p where first_name is not null union select last_name from p where last_name is not null"
+_VOWEL = "in ('A', 'E', 'I', 'O', 'U')"
+#: The code letter by letter: a name is walked from its second letter on, and the key grows by what each letter or group becomes.
+NYSIIS_SQL = f"""
+begun as (select n, case when u like 'MAC%' then 'MCC' || substr(u, 4) when u like 'KN%' then substr(u, 2) when u like 'K%' then 'C' || substr(u, 2) when u like 'PH%' or u like 'PF%' then 'FF' || substr(u, 3) when u like 'SCH%' then 'SSS' || substr(u, 4) else u end as s from (select n, upper(n) as u from names)),
+ended as (select n, case when right(s, 2) in ('IE', 'EE') then substr(s, 1, length(s) - 2) || 'Y' when right(s, 2) in ('DT', 'RT', 'RD', 'NT', 'ND') then substr(s, 1, length(s) - 2) || 'D' else s end as s from begun),
+walk as (
+  select n, s, 2 as i, substr(s, 1, 1) as key from ended
+  union all
+  select n, s, i + step, case when ch = '' or right(ch, 1) = right(key, 1) then key else key || ch end from (
+    select n, s, i, key, case when c || behind in ('EV', 'PH') then 2 when c = 'S' and substr(s, i + 1, 2) = 'CH' then 3 else 1 end as step,
+      case when c || behind = 'EV' then 'AF' when c {_VOWEL} then 'A' when c = 'Q' then 'G' when c = 'Z' then 'S' when c = 'M' then 'N' when c || behind = 'KN' then 'N' when c = 'K' then 'C'
+        when c = 'S' and substr(s, i + 1, 2) = 'CH' then 'SS' when c || behind = 'PH' then 'F'
+        when c = 'H' and (not before {_VOWEL} or (behind <> '' and not behind {_VOWEL})) then case when before {_VOWEL} then 'A' else before end
+        when c = 'W' and before {_VOWEL} then before else c end as ch
+    from (select n, s, i, key, substr(s, i, 1) as c, substr(s, i - 1, 1) as before, substr(s, i + 1, 1) as behind from walk where i <= length(s)))),
+walked as (select n, max_by(key, i) as key from walk group by n),
+no_s as (select n, case when key like '%S' and key <> 'S' then substr(key, 1, length(key) - 1) else key end as key from walked),
+no_ay as (select n, case when key like '%AY' then substr(key, 1, length(key) - 2) || 'Y' else key end as key from no_s),
+coded as (select n, case when key like '%A' and key <> 'A' then substr(key, 1, length(key) - 1) else key end as key from no_ay)"""
+
+
+@query(f"with recursive p as ({PEOPLE_SQL}), names as ({_NAMES_SQL}), {NYSIIS_SQL} select p.record_id, a.key as first_name_nysiis, b.key as last_name_nysiis from p left join coded a on p.first_name = a.n left join coded b on p.last_name = b.n")
 def nysiis_keys(spark: SparkSession, d: str) -> DataFrame:
     return people(spark, d).select("record_id", nysiis(F.col("first_name")).alias("first_name_nysiis"), nysiis(F.col("last_name")).alias("last_name_nysiis"))
 

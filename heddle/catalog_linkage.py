@@ -103,7 +103,8 @@ def prior_lambda(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(1).select(F.lit(round(p, 12)).alias("prior"), F.lit(round(model.to_odds(p) * 1000, 9)).alias("raised_odds"))
 
 
-_DRAW = "cast(floor(cast(concat('0x', substr(md5(r.record_id || '#' || cast(t.i as varchar) || '|1234|0'), 1, 8)) as bigint) / 4294967296.0 * (select count(*) from c)) as bigint)"
+_BITS = "cast(concat('0x', substr(md5(r.record_id || '#' || cast(t.i as varchar) || '|1234|{k}'), 1, 8)) as bigint) / 4294967296.0"
+_DRAW = f"cast(floor(({_BITS.format(k=0)} + {_BITS.format(k=1)} / 4294967296.0) * (select count(*) from c)) as bigint)"
 _RANDOM = f"""
 n as (select *, row_number() over (order by record_id) - 1 as num from c),
 g as (select {_gammas_sql('r', 'n')} from r cross join range(1, 11) as t(i) join n on n.num = {_DRAW})"""
@@ -179,7 +180,7 @@ def best_link(spark: SparkSession, d: str) -> DataFrame:
 
 # Cascade
 
-ZIP = cascade.Module("zipsearch", "people", ("zipcode",), tuple(c.column for c in COMPARISONS), (cascade.Pass("initial", ("first_name_1",)), cascade.Pass("initial switch", ("first_name_1",), True)))
+ZIP = cascade.Module("zipsearch", "people", ("zipcode",), tuple(c.column for c in COMPARISONS), (cascade.Pass("initial", ("first_name_1",)), cascade.Pass("initial switch", ("first_name_1",), prep.switch_names)))
 BIRTH = cascade.Module("birthsearch", "people", ("day_of_birth", "month_of_birth"), tuple(c.column for c in COMPARISONS), (cascade.Pass("year", ("year_of_birth",)), cascade.Pass("last initial", ("last_name_1",))), 10.0)
 
 _DEATHS = "d as (select distinct 'pik' || cast(k % 1400 as varchar) as pik, case when k % 12 = 0 then date '2030-04-01' else date '2030-04-02' end as died from p where k % 4 = 0)"
@@ -244,12 +245,13 @@ def links_by_pass(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""
 with {BASE}, pick as (select record_id as raw, 'pik' || cast(simulant_id % 1400 as varchar) as pik from c where simulant_id % 3 = 0), hh as (select c.record_id, c.zipcode as household, pick.pik from c left join pick on c.record_id = pick.raw where c.zipcode is not null),
 e as (select household from hh group by 1 having count(pik) > 0 and count(*) > count(pik)), people_ as (select distinct hh.household, pik from hh join e on hh.household = e.household where pik is not null),
-places as (select distinct people_.household, r.zipcode as geokey from people_ join r on people_.pik = r.pik where r.zipcode is not null)
-select r.record_id, r.pik, places.household as pseudo_household_id from r join places on r.zipcode = places.geokey where r.pik not in (select pik from pick)""")
+open_ as (select * from r where cast(r.zipcode as int) % 7 <> 0), places as (select distinct people_.household, open_.zipcode as geokey from people_ join open_ on people_.pik = open_.pik where open_.zipcode is not null)
+select open_.record_id, open_.pik, places.household as pseudo_household_id from open_ join places on open_.zipcode = places.geokey where open_.pik not in (select pik from pick)""")
 def household_composition(spark: SparkSession, d: str) -> DataFrame:
     rows = cascade.with_household_ids(inputs(spark, d).withColumn("geokey_for_blocking", F.col("zipcode")))
     done = census(spark, d).where("simulant_id % 3 = 0").select(F.col("record_id").alias("record_id_raw_input_file"), F.concat(F.lit("pik"), (F.col("simulant_id") % 1400).cast("string")).alias("pik"))
-    geobase = reference(spark, d).withColumn("geokey", F.col("zipcode"))
+    # Every seventh zip code plays a group quarters, which has an address but none for blocking.
+    geobase = reference(spark, d).withColumns({"geokey": F.col("zipcode"), "geokey_for_blocking": F.when(F.col("zipcode").cast("int") % 7 != 0, F.col("zipcode"))})
     return cascade.household_reference(rows, done, geobase).select("record_id", "pik", "pseudo_household_id")
 
 
@@ -297,6 +299,31 @@ def accuracy_by_pass(spark: SparkSession, d: str) -> DataFrame:
     return out.select("module_name", "pass_name", "n", F.round("right", 9).alias("right_share"), "wrong")
 
 
+# Links judged by the reference record: every fourth one mixes two entities, and the truth of every tenth person is moved on.
+_LINKED = f"""mixed as (select record_id as ref, k as simulant_id from r union select record_id, k + 1 from r where k % 4 = 1), ent as (select *, count(*) over (partition by ref) as n_ent from mixed),
+j as (select conf.raw, conf.ref, module_name, pass_name, max(n_ent) as n_entities, bool_or(ent.simulant_id = c.simulant_id + case when c.simulant_id % 10 = 0 then 1 else 0 end) as any_right, bool_or(ent.simulant_id = c.simulant_id + case when c.simulant_id % 10 = 0 then 1 else 0 end and n_ent = 1) as right_
+  from conf join c on conf.raw = c.record_id join ent on conf.ref = ent.ref group by 1, 2, 3, 4)"""
+
+
+def _link_evaluation(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    assigned, truth, _ = _evaluation(spark, d)
+    truth = truth.withColumn("simulant_id", F.col("simulant_id") + F.when(F.col("simulant_id") % 10 == 0, 1).otherwise(0))
+    of = reference(spark, d).select(F.col("record_id").alias("record_id_reference"), F.explode(F.when(F.col("k") % 4 == 1, F.array("k", F.col("k") + 1)).otherwise(F.array("k"))).alias("simulant_id"))
+    return assigned, truth, of
+
+
+@query(f"with {CASCADE_SQL}, {_LINKED} select count(*) as n, round(avg(cast(right_ as int)), 9) as strict, round(count(*) filter (right_) / cast(count(*) filter (n_entities = 1) as double), 9) as certain, round(avg(cast(any_right as int)), 9) as lenient from j")
+def link_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    out = evaluate.accuracy(*_link_evaluation(spark, d), "record_id_reference")
+    return out.select("n", *[F.round(c, 9).alias(c) for c in ("strict", "certain", "lenient")])
+
+
+@query(f"with {CASCADE_SQL}, {_LINKED} select module_name, pass_name, count(*) as n, round(avg(cast(any_right as int)), 9) as right_share, count(*) filter (not any_right) as wrong from j group by 1, 2")
+def link_accuracy_by_pass(spark: SparkSession, d: str) -> DataFrame:
+    out = evaluate.accuracy_by(*_link_evaluation(spark, d), "module_name", "pass_name", key="record_id_reference")
+    return out.select("module_name", "pass_name", "n", F.round("right", 9).alias("right_share"), "wrong")
+
+
 @query(f"with {CASCADE_SQL} select round(avg(case when conf.pik is not null then 1.0 else 0.0 end), 9) as identified from c left join conf on c.record_id = conf.raw")
 def identified_share(spark: SparkSession, d: str) -> DataFrame:
     piked = cascade.attach(census(spark, d).select("record_id"), confirmed(spark, d))
@@ -324,9 +351,14 @@ def missed_links(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.missed(piked, truth, entities)
 
 
-@query(f"with {CASCADE_SQL}, {_JUDGED}, few as (select raw, pik from j where not any_right order by raw limit 100) select c.record_id, conf.pik, c.first_name_15 as first_name_15_input, r.first_name_15 as first_name_15_reference from conf join few on conf.raw = few.raw join c on conf.raw = c.record_id join r on conf.ref = r.record_id")
+_MOVED = "j as (select conf.raw, conf.pik, bool_or(coalesce(ent.simulant_id = c.simulant_id + case when c.simulant_id % 10 = 0 then 1 else 0 end, false)) as any_right from conf join c on conf.raw = c.record_id left join ent on conf.pik = ent.pik group by 1, 2)"
+
+
+@query(f"with {CASCADE_SQL}, {_TRUTH}, {_MOVED}, few as (select raw, pik from j where not any_right order by raw limit 100) select c.record_id, conf.pik, c.first_name_15 as first_name_15_input, r.first_name_15 as first_name_15_reference from conf join few on conf.raw = few.raw join c on conf.raw = c.record_id join r on conf.ref = r.record_id")
 def wrong_links(spark: SparkSession, d: str) -> DataFrame:
+    """The truth of every tenth person is moved to the next one, so that there are wrong links."""
     assigned, truth, pairs = _evaluation(spark, d)
+    truth = truth.withColumn("simulant_id", F.col("simulant_id") + F.when(F.col("simulant_id") % 10 == 0, 1).otherwise(0))
     rows = evaluate.wrong_links(assigned.select("record_id", "record_id_reference", "pik"), truth, pairs, inputs(spark, d).select("record_id", "first_name_15"), reference(spark, d).select("record_id", "pik", "first_name_15"))
     return rows.select("record_id", "pik", "first_name_15_input", "first_name_15_reference")
 

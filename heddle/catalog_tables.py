@@ -221,6 +221,23 @@ def lineage_entities(spark: SparkSession, d: str) -> DataFrame:
     return lineage.entities(out.pairs, truth).join(out.df, "record_id").drop("record_id")
 
 
+@query(f"""
+with {_ORDERS}, g as (select distinct coalesce(a, '-') as a, b, ssn % 7 as e from o), n as (select a, b, count(distinct e) as n from g group by 1, 2),
+w as (select a, b from n order by n desc, a, b limit 1) select o.record_id, o.ssn, o.ssn % 7 as simulant_id from o join w on coalesce(o.a, '-') = w.a and o.b = w.b""")
+def collision_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The orders behind the kind that mixes the most of seven entities; ids here are the kinds' names, so that ties fall alike."""
+    o = _orders(spark, d)
+    pairs = o.df.select(F.concat_ws("|", F.coalesce("a", F.lit("-")), "b").alias("record_id"), F.col("record_id").alias("source_record_id"))
+    truth = o.df.select("record_id", (F.col("ssn") % 7).alias("simulant_id"))
+    return lineage.collision_sources(pairs, truth, o.df.select("record_id", "ssn"))
+
+
+@query(f"with {_ORDERS}, x as (select ssn, count(*) as n from o where b = 'F' group by 1) select (select count(*) from o) * (select avg(n) from x) as expected_rows")
+def expected_join_rows(spark: SparkSession, d: str) -> DataFrame:
+    o = _orders(spark, d).df
+    return reference.expected_rows(o, o.where("b = 'F'"))
+
+
 @query(f"with {_ORDERS} select distinct ssn % 500 as ssn, 'p' as kind, dense_rank() over (order by ssn % 500) - 1 as pik from o")
 def id_crosswalk(spark: SparkSession, d: str) -> DataFrame:
     o = _orders(spark, d).df.withColumn("ssn", F.col("ssn") % 500)

@@ -1,11 +1,14 @@
 """Jaro-Winkler similarity for columns of pairs.
 
-Spark has no such function, so pairs pass to numpy in Arrow batches. All pairs of a batch advance
-together: the loops run over character positions, not over pairs.
+Spark has no such function, so pairs pass to numpy in Arrow batches, where each distinct pair is compared
+once. Pairs of about the same length advance together: the loops run over character positions, not over
+pairs. Long strings are compared one pair at a time, in time that grows with their length.
 """
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +19,8 @@ from ..runtime import ship
 
 #: Prefix characters that count, their weight, and the Jaro similarity from which they count.
 PREFIX, WEIGHT, BOOST = 4, 0.1, 0.7
+#: Characters up to which pairs advance together.
+SHORT = 64
 
 
 def _codes(values: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -29,8 +34,50 @@ def _codes(values: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def jaro_winkler_values(left: list[str], right: list[str]) -> np.ndarray:
     """Similarities of equally many strings; 0 if one is empty."""
-    if not left:
-        return np.zeros(0)
+    out = np.zeros(len(left))
+    number: dict[tuple[str, str], int] = {}
+    of = np.fromiter((number.setdefault(pair, len(number)) for pair in zip(left, right, strict=True)), np.int64, len(left))
+    pairs = list(number)
+    # Padding at most doubles a string.
+    size = np.fromiter((max(len(a), len(b), 1) - 1 for a, b in pairs), np.int64, len(pairs))
+    group = np.where(size >= SHORT, 99, np.ceil(np.log2(size + 1)).astype(np.int64))
+    distinct = np.zeros(len(pairs))
+    for g in np.unique(group):
+        at = np.flatnonzero(group == g)
+        some = [pairs[i] for i in at]
+        distinct[at] = [_long(a, b) for a, b in some] if g == 99 else _together([a for a, _ in some], [b for _, b in some])
+    out[:] = distinct[of]
+    return out
+
+
+def _long(a: str, b: str) -> float:
+    """One pair. A character takes the first free equal one within reach, so the free ones of each kind wait in a queue."""
+    if not a or not b:
+        return 0.0
+    reach = max(max(len(a), len(b)) // 2 - 1, 0)
+    waiting: dict[str, deque[int]] = {}
+    for j, c in enumerate(b):
+        waiting.setdefault(c, deque()).append(j)
+    hit_a, hit_b = [], []
+    for i, c in enumerate(a):
+        queue = waiting.get(c)
+        while queue and queue[0] < i - reach:
+            queue.popleft()
+        if queue and queue[0] <= i + reach:
+            hit_a.append(c)
+            hit_b.append(queue.popleft())
+    m = len(hit_a)
+    if not m:
+        return 0.0
+    moved = sum(c != b[j] for c, j in zip(hit_a, sorted(hit_b))) // 2
+    jaro = (m / len(a) + m / len(b) + (m - moved) / m) / 3
+    common = 0
+    while common < min(PREFIX, len(a), len(b)) and a[common] == b[common]:
+        common += 1
+    return jaro + common * WEIGHT * (1 - jaro) if jaro > BOOST else jaro
+
+
+def _together(left: list[str], right: list[str]) -> np.ndarray:
     a, na = _codes(left)
     b, nb = _codes(right)
     n, reach = len(left), np.maximum(np.maximum(na, nb) // 2 - 1, 0)
@@ -64,7 +111,7 @@ def _similarities(left: pd.Series, right: pd.Series) -> pd.Series:
 
 
 def jaro_winkler(left: Column, right: Column) -> Column:
-    """Null if either is null. Where few different pairs recur, with_similarity compares each once."""
+    """Null if either is null. Where few different pairs recur in many batches, with_similarity compares each once in all."""
     ship(SparkSession.active())
     return F.pandas_udf(_similarities, T.DoubleType())(left, right)
 

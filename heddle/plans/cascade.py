@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.relational import check_disjoint, concat, except_keys, unique_list
+from ..operators.relational import check_disjoint, concat, except_keys, unique_list, validated_join
 from ..runtime import cut
-from .model import Model, blocking_join, count_blocked_pairs, score
+from ..sources.io import pairs_report
+from .model import Model, blocking_join, count_blocked_pairs, linked
 from .prep import NOT_SWITCHED, switch_names
 
 THRESHOLD, CENSUS_DAY = 0.97, "2030-04-01"
+#: How far below the threshold pairs are shown in a pass's report.
+BELOW = 0.2
 
 
 @dataclass(frozen=True)
 class Pass:
+    """`transform` changes the input rows before they are blocked."""
+
     name: str
     blocking: tuple[str, ...]
-    switch: bool = False
+    transform: Callable[[DataFrame], DataFrame] | None = None
 
 
 @dataclass(frozen=True)
@@ -36,19 +41,20 @@ class Module:
 
     def __post_init__(self) -> None:
         for p in self.passes:
-            if p.switch and (bad := {*self.cuts, *p.blocking} & set(NOT_SWITCHED)):
+            if p.transform is switch_names and (bad := {*self.cuts, *p.blocking} & set(NOT_SWITCHED)):
                 raise ValueError(f"{p.name} switches names but blocks on {sorted(bad)}, which a switch leaves as they were")
 
 
+# The modules' and passes' names, cut columns, blocking columns and Bayes factor are part of the results.
 _DATE = ("day_of_birth", "month_of_birth", "year_of_birth")
 _PERSON = ("first_name_15", "last_name_12", "middle_initial", *_DATE)
 _FIRST2 = ("first_name_2", "last_name_2")
 
 GEOSEARCH = Module("geosearch", "geobase", ("zip3",), (*_PERSON, "geokey"), (
     Pass("geokey", ("geokey_for_blocking",)),
-    Pass("geokey name switch", ("geokey_for_blocking",), True),
+    Pass("geokey name switch", ("geokey_for_blocking",), switch_names),
     Pass("house number and street name Soundex", ("street_number_for_blocking", "street_name_for_blocking_soundex")),
-    Pass("house number and street name Soundex name switch", ("street_number_for_blocking", "street_name_for_blocking_soundex"), True),
+    Pass("house number and street name Soundex name switch", ("street_number_for_blocking", "street_name_for_blocking_soundex"), switch_names),
     Pass("some name and DOB information", (*_FIRST2, "year_of_birth")),
 ))
 NAMESEARCH = Module("namesearch", "name_dob", ("first_initial_cut", "last_initial_cut"), _PERSON, (
@@ -58,7 +64,7 @@ NAMESEARCH = Module("namesearch", "name_dob", ("first_initial_cut", "last_initia
     Pass("birthday and first two characters of name", ("day_of_birth", "month_of_birth", *_FIRST2)),
 ))
 DOBSEARCH = Module("dobsearch", "name_dob", ("day_of_birth", "month_of_birth"), _PERSON, (
-    Pass("initials name switch", ("first_name_1", "last_name_1"), True),
+    Pass("initials name switch", ("first_name_1", "last_name_1"), switch_names),
     Pass("first three characters of name", ("first_name_3", "last_name_3")),
     Pass("reverse Soundex of name", ("first_name_reverse_soundex", "last_name_reverse_soundex")),
     Pass("first two characters of first name and year of birth", ("first_name_2", "year_of_birth")),
@@ -70,13 +76,14 @@ HHCOMPSEARCH = Module("hhcompsearch", "households", ("pseudo_household_id",), _P
 CASCADE = (GEOSEARCH, NAMESEARCH, DOBSEARCH)
 
 
-def run_pass(reference: DataFrame, inputs: DataFrame, module: Module, p: Pass, model: Model, threshold: float = THRESHOLD, salts: int = 1, most_pairs: int | None = None) -> DataFrame:
+def run_pass(reference: DataFrame, inputs: DataFrame, module: Module, p: Pass, model: Model, threshold: float = THRESHOLD, salts: int = 1, most_pairs: int | None = None, report: str | None = None) -> DataFrame:
     """Links (record_id_raw_input_file, record_id_input, record_id_reference, match_probability, module_name, pass_name) of one pass.
 
-    With `most_pairs`, blocks are counted first and the pass is refused beyond it.
+    With `most_pairs`, blocks are counted first and the pass is refused beyond it. With `report`, a folder,
+    the best pairs down to some way below the threshold are written there for inspection.
     """
     by = unique_list([*module.cuts, *p.blocking])
-    rows = switch_names(inputs) if p.switch else inputs
+    rows = p.transform(inputs) if p.transform else inputs
     if most_pairs is not None:
         total = count_blocked_pairs(reference, rows, by).agg(F.sum("n_pairs")).first()[0] or 0
         if total > most_pairs:
@@ -84,21 +91,25 @@ def run_pass(reference: DataFrame, inputs: DataFrame, module: Module, p: Pass, m
     # Only what blocking and comparisons need crosses the shuffle.
     columns = unique_list(["record_id", *module.matching, *by])
     pairs = blocking_join(reference.select(columns), rows.select(*columns, "record_id_raw_input_file"), by, salts)
-    scored = score(pairs, model.only(module.matching), module.bayes_factor).where(F.col("match_probability") >= threshold)
+    scored = linked(pairs, model.only(module.matching), threshold - (BELOW if report else 0.0), module.bayes_factor)
+    if report:
+        scored = cut(scored)
+        pairs_report(scored, f"{report}/{module.name}__{p.name}".replace(" ", "_"))
+        scored = scored.where(F.col("match_probability") >= threshold)
     return scored.select(
         F.col("record_id_raw_input_file_r").alias("record_id_raw_input_file"), F.col("record_id_r").alias("record_id_input"), F.col("record_id_l").alias("record_id_reference"),
         "match_probability", F.lit(module.name).alias("module_name"), F.lit(p.name).alias("pass_name"),
     )
 
 
-def run_module(reference: DataFrame, inputs: DataFrame, module: Module, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+def run_module(reference: DataFrame, inputs: DataFrame, module: Module, model: Model, threshold: float = THRESHOLD, report: str | None = None) -> DataFrame:
     """Provisional links of all passes. A record linked in one pass is out of the next ones; its nickname twin isn't."""
     links: list[DataFrame] = []
     for p in module.passes:
         remaining = inputs
         if links:
             remaining = except_keys(inputs, concat(links).select(F.col("record_id_input").alias("record_id")), ["record_id"])
-        links.append(cut(run_pass(reference, remaining, module, p, model, threshold)))
+        links.append(cut(run_pass(reference, remaining, module, p, model, threshold, report=report)))
     return concat(links)
 
 
@@ -125,16 +136,17 @@ def household_reference(inputs: DataFrame, confirmed: DataFrame, geobase: DataFr
     """Reference rows at any address of the people of households where some but not all rows have an id.
 
     `inputs` has pseudo_household_id and record_id_raw_input_file, `confirmed` (record_id_raw_input_file,
-    pik), `geobase` pik and geokey. People with an id anywhere are left out. A row may come with
-    several households.
+    pik), `geobase` pik and geokey_for_blocking, which leaves out group quarters. People with an id
+    anywhere are left out. A row may come with several households.
     """
     rows = inputs.join(confirmed.select("record_id_raw_input_file", "pik"), "record_id_raw_input_file", "left").where(F.col("pseudo_household_id").isNotNull())
     sizes = rows.groupBy("pseudo_household_id").agg(F.count("pik").alias("piked"), (F.count("*") - F.count("pik")).alias("unpiked"))
     eligible = sizes.where("piked > 0 and unpiked > 0").select("pseudo_household_id")
     people = rows.join(eligible, "pseudo_household_id", "left_semi").select("pseudo_household_id", "pik").dropna().distinct()
-    places = people.join(geobase.select("pik", "geokey").dropna().distinct(), "pik").select("pseudo_household_id", "geokey").distinct()
-    open_ = geobase.join(confirmed.select("pik").distinct(), "pik", "left_anti")
-    return open_.join(places, "geokey")
+    address = "geokey_for_blocking"
+    places = people.join(geobase.select("pik", address).dropna().distinct(), "pik").select("pseudo_household_id", address).distinct()
+    open_ = geobase.where(F.col(address).isNotNull()).join(confirmed.select("pik").distinct(), "pik", "left_anti")
+    return open_.join(places, address)
 
 
 def with_household_ids(inputs: DataFrame) -> DataFrame:
@@ -144,7 +156,7 @@ def with_household_ids(inputs: DataFrame) -> DataFrame:
 
 def run_cascade(
     inputs: DataFrame, references: dict[str, DataFrame], model: Model, modules: Sequence[Module] = CASCADE, households: bool = True, deaths: DataFrame | None = None,
-    threshold: float = THRESHOLD,
+    threshold: float = THRESHOLD, report: str | None = None,
 ) -> DataFrame:
     """Confirmed links of all modules. A raw row confirmed in one module is out of the later ones.
 
@@ -162,7 +174,7 @@ def run_cascade(
             everyone = with_household_ids(inputs)
             reference = cut(household_reference(everyone, so_far, references["geobase"]))
             remaining = with_household_ids(remaining)
-        links = run_module(reference, remaining, module, model, threshold)
+        links = run_module(reference, remaining, module, model, threshold, report)
         piks = reference.select(F.col("record_id").alias("record_id_reference"), "pik").distinct()
         new = cut(confirm(links, piks, deaths))
         if so_far is not None:
@@ -172,9 +184,9 @@ def run_cascade(
 
 
 def attach(raw: DataFrame, confirmed: DataFrame) -> DataFrame:
-    """The raw input with pik, null where there is no link."""
+    """The raw input with pik, null where there is no link; raises if a row has two ids or a record id occurs twice."""
     ids = confirmed.select(F.col("record_id_raw_input_file").alias("record_id"), "pik").distinct()
-    return raw.join(ids, "record_id", "left")
+    return validated_join(raw, ids, ["record_id"], "left", "1:1")
 
 
 def by_pass(links: DataFrame) -> DataFrame:

@@ -41,20 +41,28 @@ def entity_counts(pairs: DataFrame, key: str = "pik") -> DataFrame:
     return distinct.join(distinct.groupBy(key).agg(F.count("simulant_id").alias("n_unique_simulants")), key)
 
 
-def _judged(assigned: DataFrame, truth: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row for each assigned id: whether the id has one entity, is that entity, or has it among others."""
-    given = assigned.where(F.col("pik").isNotNull()).join(truth.withColumnRenamed("simulant_id", "true_id"), "record_id", "left")
-    known = given.join(entity_counts(pairs), "pik", "left")
+def _judged(assigned: DataFrame, truth: DataFrame, pairs: DataFrame, key: str = "pik") -> DataFrame:
+    """One row for each assigned id: whether the id has one entity, is that entity, or has it among others.
+
+    With another key, such as record_id_reference, each link is judged by the entities of what it was
+    linked to; pairs is (key, simulant_id).
+    """
+    given = assigned.where(F.col(key).isNotNull()).join(truth.withColumnRenamed("simulant_id", "true_id"), "record_id", "left")
+    known = given.join(entity_counts(pairs, key), key, "left")
     same = F.coalesce(F.col("simulant_id") == F.col("true_id"), F.lit(False))
-    keys = [c for c in assigned.columns if c in ("record_id", "pik", "module_name", "pass_name")]
+    keys = [c for c in assigned.columns if c in ("record_id", key, "pik", "module_name", "pass_name")]
     return known.groupBy(*keys).agg(
         F.max("n_unique_simulants").alias("n_entities"), F.bool_or(same).alias("any_right"), F.bool_or(same & (F.col("n_unique_simulants") == 1)).alias("right")
     )
 
 
-def accuracy(assigned: DataFrame, truth: DataFrame, pairs: DataFrame) -> DataFrame:
-    """strict: right and the id has one entity, of all ids assigned; certain: the same of ids with one entity; lenient: any entity of the id is right."""
-    return _judged(assigned, truth, pairs).agg(
+def accuracy(assigned: DataFrame, truth: DataFrame, pairs: DataFrame, key: str = "pik") -> DataFrame:
+    """strict: right and the id has one entity, of all ids assigned; certain: the same of ids with one entity; lenient: any entity of the id is right.
+
+    With record_id_reference as key, and pairs of reference records and entities, the records that were
+    linked are judged, not the ids.
+    """
+    return _judged(assigned, truth, pairs, key).agg(
         F.count("*").alias("n"),
         F.avg(F.col("right").cast("int")).alias("strict"),
         (F.count_if("right") / F.count_if(F.col("n_entities") == 1)).alias("certain"),
@@ -62,9 +70,9 @@ def accuracy(assigned: DataFrame, truth: DataFrame, pairs: DataFrame) -> DataFra
     )
 
 
-def accuracy_by(assigned: DataFrame, truth: DataFrame, pairs: DataFrame, *by: str) -> DataFrame:
-    """n, share right and number wrong by module or by module and pass."""
-    judged = _judged(assigned, truth, pairs)
+def accuracy_by(assigned: DataFrame, truth: DataFrame, pairs: DataFrame, *by: str, key: str = "pik") -> DataFrame:
+    """n, share right and number wrong by module or by module and pass; of ids, or with another key of links."""
+    judged = _judged(assigned, truth, pairs, key)
     return judged.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.col("any_right").cast("int")).alias("right"), F.count_if(~F.col("any_right")).alias("wrong")).orderBy("right", *by)
 
 

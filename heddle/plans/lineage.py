@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.relational import add_record_ids, check_unique, concat, join_dropping_nulls, null_safe_join
+from ..operators.relational import check_unique, concat, hashed_id, join_dropping_nulls
 
 
 @dataclass(frozen=True)
@@ -25,13 +25,13 @@ def self_lineage(df: DataFrame) -> Lineaged:
     return Lineaged(df, df.select("record_id", F.col("record_id").alias("source_record_id")))
 
 
-def merge(parts: Sequence[Lineaged], name: str, on: Sequence[str], how: str = "inner", keys: Sequence[str] | None = None) -> Lineaged:
+def merge(parts: Sequence[Lineaged], name: str, on: Sequence[str], how: str = "inner") -> Lineaged:
     """Joins parts one after another. Rows with a null key drop out; each result row comes from the
     sources of both its sides. Columns that both sides have beside the keys are not allowed."""
 
     def two(left: Lineaged, right: Lineaged) -> Lineaged:
         a, b = left.df.withColumnRenamed("record_id", "_l"), right.df.withColumnRenamed("record_id", "_r")
-        both = add_record_ids(join_dropping_nulls(a, b, on, how), name, [*(keys or ()), "_l", "_r"])
+        both = join_dropping_nulls(a, b, on, how).withColumn("record_id", hashed_id(f"{name}_", [F.col("_l"), F.col("_r")]))
         from_left = both.select("record_id", F.col("_l").alias("o")).join(left.pairs.withColumnRenamed("record_id", "o"), "o")
         from_right = both.select("record_id", F.col("_r").alias("o")).join(right.pairs.withColumnRenamed("record_id", "o"), "o")
         return Lineaged(both.drop("_l", "_r"), from_left.unionByName(from_right).drop("o").distinct())
@@ -40,16 +40,19 @@ def merge(parts: Sequence[Lineaged], name: str, on: Sequence[str], how: str = "i
 
 
 def dedupe(part: Lineaged, columns: Sequence[str], name: str) -> Lineaged:
-    """Distinct values of columns, nulls being equal; each comes from the sources of all rows it stands for."""
-    distinct = add_record_ids(part.df.select(*columns).distinct(), name, columns)
-    stands = null_safe_join(part.df.select(F.col("record_id").alias("o"), *columns), distinct, columns).select("record_id", "o")
-    return Lineaged(distinct, stands.join(part.pairs.withColumnRenamed("record_id", "o"), "o").drop("o").distinct())
+    """Distinct values of columns, nulls being equal; each comes from the sources of all rows it stands for.
+
+    A row's id follows from its values, so every row knows what it stands for without a join.
+    """
+    rows = part.df.select(hashed_id(f"{name}_", [F.col(c) for c in columns]).alias("record_id"), F.col("record_id").alias("o"), *columns)
+    stands = rows.select("record_id", "o").join(part.pairs.withColumnRenamed("record_id", "o"), "o")
+    return Lineaged(rows.drop("o").distinct(), stands.drop("o").distinct())
 
 
 def concatenate(parts: Sequence[Lineaged], name: str, check: bool = True) -> Lineaged:
     """Rows of all parts under new ids."""
     tagged = [p.df.withColumnRenamed("record_id", "_o").withColumn("_part", F.lit(i)) for i, p in enumerate(parts)]
-    rows = add_record_ids(concat(tagged), name, ["_part", "_o"])
+    rows = concat(tagged).withColumn("record_id", hashed_id(f"{name}_", [F.col("_part"), F.col("_o")]))
     if check:
         check_unique(rows, ["_part", "_o"])
     sources = concat([p.pairs.withColumnRenamed("record_id", "_o").withColumn("_part", F.lit(i)) for i, p in enumerate(parts)])
@@ -77,6 +80,17 @@ def collisions(truth: DataFrame) -> dict[str, DataFrame]:
     return {"summary": per_record.select("n_unique_simulants").summary(), "worst": truth.join(F.broadcast(worst.select("record_id")), "record_id", "left_semi")}
 
 
+def collision_sources(pairs: DataFrame, truth: DataFrame, sources: DataFrame, entity: str = "simulant_id") -> DataFrame:
+    """The source rows behind the record that mixes the most entities (of ties the smallest id), each with its entity.
+
+    pairs is (record_id, source_record_id), truth (record_id, entity) of the sources, and sources has record_id.
+    """
+    found = entities(pairs, truth, entity)
+    worst = found.select("record_id", "n_unique_simulants").distinct().orderBy(F.desc("n_unique_simulants"), "record_id").limit(1).where("n_unique_simulants > 1")
+    behind = pairs.join(F.broadcast(worst.select("record_id")), "record_id", "left_semi").select(F.col("source_record_id").alias("record_id")).distinct()
+    return sources.join(behind, "record_id", "left_semi").join(truth.select("record_id", entity), "record_id", "left")
+
+
 def id_crosswalk(frames: Sequence[DataFrame], column: str = "ssn", name: str = "pik") -> DataFrame:
     """(column, name): one id for every distinct non-null value in any of the frames."""
     from ..operators.relational import add_unique_ids

@@ -132,7 +132,9 @@ def random_pairs(left: DataFrame, right: DataFrame, per_row: int, seed: int, lef
     size = right.count()
     drawn = left.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(per_row))))
     key = F.concat_ws("#", F.col(left_id).cast("string"), F.col("_k").cast("string"))
-    drawn = drawn.withColumn("_n", F.floor(uniform(key, seed, 0) * size).cast("bigint"))
+    # Two draws of 32 bits, so that rows beyond 2^32 are reached evenly.
+    place = uniform(key, seed, 0) + uniform(key, seed, 1) / 4294967296.0
+    drawn = drawn.withColumn("_n", F.least(F.floor(place * size).cast("bigint"), F.lit(size - 1)))
     l = drawn.select(*[F.col(c).alias(f"{c}_l") for c in left.columns], "_n")
     r = numbered.select(*[F.col(c).alias(f"{c}_r") for c in right.columns], "_n")
     return l.join(r, "_n").drop("_n")
@@ -258,14 +260,37 @@ def count_blocked_pairs(reference: DataFrame, inputs: DataFrame, by: Sequence[st
     return sizes(reference, "n_reference").join(sizes(inputs, "n_input"), list(by)).withColumn("n_pairs", F.col("n_reference") * F.col("n_input"))
 
 
+def _bits(model: Model, c: Comparison) -> dict[int, float]:
+    return {k: math.log2(max(model.m[c.column][k], 1e-12) / max(model.u[c.column][k], 1e-12)) for k in c.levels}
+
+
+def most_weight(model: Model, bayes_factor: float = 1.0, left: str = "_l", right: str = "_r") -> Column:
+    """The weight that a pair reaches at most, from what is known without comparing unequal strings."""
+    weight = F.lit(math.log2(to_odds(model.prior) * bayes_factor))
+    for c in model.comparisons:
+        bits, l, r = _bits(model, c), F.col(c.column + left), F.col(c.column + right)
+        rest = max(v for k, v in bits.items() if k != EXACT)
+        if c.kind == "numeric":
+            rest = F.when(F.abs(l - r) <= c.threshold, bits[CLOSE]).otherwise(bits[ELSE])
+        weight = weight + F.when(l.isNull() | r.isNull(), 0.0).when(l == r, bits[EXACT]).otherwise(rest)
+    return weight
+
+
+def linked(pairs: DataFrame, model: Model, threshold: float, bayes_factor: float = 1.0) -> DataFrame:
+    """The scored pairs of at least a probability. Strings are compared only where the rest of a pair leaves it a chance."""
+    if 0 < threshold < 1:
+        # A little slack, as sums in another order may differ in their last digits.
+        pairs = pairs.where(most_weight(model, bayes_factor) >= math.log2(to_odds(threshold)) - 1e-6)
+    return score(pairs, model, bayes_factor).where(F.col("match_probability") >= threshold)
+
+
 def score(pairs: DataFrame, model: Model, bayes_factor: float = 1.0, gammas: bool = True) -> DataFrame:
     """Adds match_weight (log2 odds) and match_probability. A null level says nothing; `bayes_factor` is what belonging to a cut says."""
     g = with_gammas(pairs, model.comparisons) if gammas else pairs
     weight = F.lit(math.log2(to_odds(model.prior) * bayes_factor))
     for c in model.comparisons:
         part = F.lit(0.0)
-        for k in c.levels:
-            bits = math.log2(max(model.m[c.column][k], 1e-12) / max(model.u[c.column][k], 1e-12))
+        for k, bits in _bits(model, c).items():
             part = F.when(F.col(f"gamma_{c.column}") == k, bits).otherwise(part)
         weight = weight + part
     return g.withColumn("match_weight", weight).withColumn("match_probability", 1 / (1 + F.pow(F.lit(2.0), -F.col("match_weight"))))

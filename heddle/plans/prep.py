@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ADDRESS_PARTS, geokey, initial_cut, nysiis, parse_date, prefix, replace_values, reverse_soundex, soundex_key, standardize_address
-from ..operators.relational import add_record_ids
+from ..operators.relational import hashed_id
 
 PREFIXES = {"first_name": {"first_name_15": 15, "first_name_1": 1, "first_name_2": 2, "first_name_3": 3}, "last_name": {"last_name_12": 12, "last_name_1": 1, "last_name_2": 2, "last_name_3": 3}}
 GQ_SHARE = 0.70
@@ -23,7 +23,7 @@ def expand_nicknames(df: DataFrame, nicknames: Mapping[str, str], dataset: str =
     formal = replace_values(F.col("first_name"), nicknames)
     rows = df.withColumnRenamed("record_id", "record_id_raw_input_file").withColumn("_n", F.explode(F.filter(F.array(F.struct(F.lit(0).alias("v"), F.col("first_name").alias("f")), F.struct(F.lit(1).alias("v"), formal.alias("f"))), lambda x: (x["v"] == 0) | x["f"].isNotNull())))
     rows = rows.withColumns({"first_name": F.col("_n.f"), "_v": F.col("_n.v")}).drop("_n")
-    return add_record_ids(rows, dataset, ["record_id_raw_input_file", "_v"]).drop("_v")
+    return rows.withColumn("record_id", hashed_id(f"{dataset}_", [F.col("record_id_raw_input_file"), F.col("_v")])).drop("_v")
 
 
 def blank_fake_names(df: DataFrame, names: DataFrame | Sequence[str], columns: Sequence[str] = ("first_name", "last_name")) -> DataFrame:

@@ -74,6 +74,12 @@ def geobase_file(name_dob: Lineaged, addresses: Lineaged) -> Lineaged:
     return lineage.merge([name_dob, addresses], "simulated_geobase_reference_file", ["ssn"], "left")
 
 
+def expected_rows(left: DataFrame, right: DataFrame, key: str = "ssn") -> DataFrame:
+    """A rough size of all combinations of two files by a key, before they are made: rows of one times the mean number of the other's rows for a key."""
+    per_key = right.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).agg(F.avg("_n").alias("_mean"))
+    return left.agg((F.count("*") * per_key.scalar()).alias("expected_rows"))
+
+
 def itin_overlap(numident: DataFrame) -> int:
     return numident.where(is_itin(F.col("ssn"))).count()
 

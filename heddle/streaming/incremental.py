@@ -21,11 +21,10 @@ def link_stream(stream: DataFrame, link: Callable[[DataFrame], DataFrame], path:
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         out = link(batch)
-        try:
-            out = except_keys(out, spark.read.parquet(path), [key])
-        except Exception as e:  # nothing has been written yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
-                raise
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+            # Of what is there the keys alone are read.
+            out = except_keys(out, spark.read.schema(out.schema).parquet(path).select(key), [key])
         out.write.mode("append").parquet(path)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -6,7 +6,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from heddle.functions import noise, text
+from heddle import session
+from heddle.functions import noise, similarity, text
 from heddle.functions.similarity import jaro_winkler, jaro_winkler_values, with_similarity
 
 
@@ -84,3 +85,22 @@ def test_noise_keeps_rows_and_is_stable(spark):
     assert single.first_name == "Cher"
     kept = noise.truncate_column(df, "first_name", 1.0, 4, 1, "id")
     assert {(r.first_name, r.last_name) for r in kept.collect()} == {("Mary", "van der Berg")}
+
+
+def test_long_strings_are_compared_alike():
+    """Pairs of any length in one batch, by both ways, and in time that grows with the length."""
+    rnd = random.Random(4)
+    word = lambda n: "".join(rnd.choice("abcde ") for _ in range(n))
+    pairs = [(word(rnd.randint(0, 90)), word(rnd.randint(0, 90))) for _ in range(300)]
+    pairs += [(a, a[:30] + word(3) + a[32:]) for a, _ in pairs]
+    alone = [similarity._long(a, b) for a, b in pairs]
+    assert similarity.jaro_winkler_values(*map(list, zip(*pairs))) == pytest.approx(alone, abs=1e-12)
+    short = [p for p in pairs if max(map(len, p)) < 60]
+    assert similarity._together(*map(list, zip(*short))) == pytest.approx([similarity._long(*p) for p in short], abs=1e-12)
+    # All characters match and half of them are out of order.
+    assert similarity.jaro_winkler_values(["ab" * 50_000, "x"], ["ba" * 50_000, "x"])[0] == pytest.approx(2.5 / 3)
+
+
+def test_session_settings():
+    few, many = session.settings(1 << 20, 8), session.settings(100 << 40, 4000, "hdfs://x")
+    assert few["spark.sql.shuffle.partitions"] == "16" and int(many["spark.sql.shuffle.partitions"]) == 100_000 and many["spark.checkpoint.dir"] == "hdfs://x"

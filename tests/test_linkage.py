@@ -72,7 +72,7 @@ def test_confirm(spark):
 
 def test_switch_guard():
     with pytest.raises(ValueError):
-        cascade.Module("x", "r", ("first_initial_cut",), (), (cascade.Pass("p", ("zip3",), True),))
+        cascade.Module("x", "r", ("first_initial_cut",), (), (cascade.Pass("p", ("zip3",), prep.switch_names),))
 
 
 def test_group_quarters(spark):
@@ -88,11 +88,43 @@ def test_group_quarters(spark):
 def test_households(spark):
     inputs = spark.createDataFrame([("1", "h"), ("2", "h"), ("3", "full"), ("4", "none"), ("5", None)], "record_id_raw_input_file string, pseudo_household_id string")
     confirmed = spark.createDataFrame([("1", "p1"), ("3", "p3")], "record_id_raw_input_file string, pik string")
-    geobase = spark.createDataFrame([("g1", "p1", "here"), ("g2", "p1", "there"), ("g3", "p9", "here"), ("g4", "p8", "there"), ("g5", "p7", "else"), ("g6", "p3", "here")], "record_id string, pik string, geokey string")
+    rows = [("g1", "p1", "here"), ("g2", "p1", "there"), ("g3", "p9", "here"), ("g4", "p8", "there"), ("g5", "p7", "else"), ("g6", "p3", "here"), ("g7", "p1", "home"), ("g8", "p6", "home")]
+    # A nursing home has an address but none for blocking, so nobody there joins a household.
+    geobase = spark.createDataFrame([(*r, None if r[2] == "home" else r[2]) for r in rows], "record_id string, pik string, geokey string, geokey_for_blocking string")
     got = cascade.household_reference(inputs, confirmed, geobase)
     assert sorted((r.record_id, r.pseudo_household_id) for r in got.collect()) == [("g3", "h"), ("g4", "h")]
 
 
+def test_linked_drops_nothing(spark):
+    """The bound before strings are compared keeps every pair that reaches the threshold."""
+    d = "/root/testdata/sf0.001"
+    pairs = model.blocking_join(catalog_linkage.reference(spark, d), catalog_linkage.inputs(spark, d), ["first_name_1"])
+    for threshold in (0.01, 0.5, 0.97):
+        plain = model.score(pairs, catalog_linkage.MODEL).where(F.col("match_probability") >= threshold).select("record_id_l", "record_id_r")
+        got = model.linked(pairs, catalog_linkage.MODEL, threshold).select("record_id_l", "record_id_r")
+        assert plain.count() == got.count() > 0 and plain.exceptAll(got).isEmpty()
+
+
+def test_report_and_transform(spark, tmp_path):
+    """A pass may change its input rows in any way, and writes its best pairs, some below the threshold too."""
+    d = "/root/testdata/sf0.001"
+    p = cascade.Pass("upper", ("zipcode",), lambda df: df.withColumn("first_name_15", F.col("first_name_15")))
+    module = cascade.Module("m", "people", (), catalog_linkage.ZIP.matching, (p,))
+    links = cascade.run_pass(catalog_linkage.reference(spark, d), catalog_linkage.inputs(spark, d), module, p, catalog_linkage.MODEL, report=str(tmp_path))
+    told = spark.read.option("header", True).csv(str(tmp_path / "m__upper"))
+    assert links.count() > 0 and told.count() >= links.count() and float(told.agg(F.min("match_probability")).first()[0]) >= 0.77
+
+
+def test_attach_checks_ids(spark):
+    raw = spark.createDataFrame([("a",), ("b",)], "record_id string")
+    ids = spark.createDataFrame([("a", "x"), ("a", "x")], "record_id_raw_input_file string, pik string")
+    assert {r.record_id: r.pik for r in cascade.attach(raw, ids).collect()} == {"a": "x", "b": None}
+    with pytest.raises(ValueError):
+        cascade.attach(raw, ids.union(spark.createDataFrame([("a", "y")], ids.schema)))
+    with pytest.raises(ValueError):
+        cascade.attach(raw.union(raw), ids)
+
+
 def test_full_cascade_is_accurate(spark):
     d = "/root/testdata/sf0.01"
     got = catalog.queries()["full_cascade"](spark, d).collect()

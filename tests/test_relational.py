@@ -47,6 +47,15 @@ def test_validated_join(spark):
         R.check_disjoint(a, b, ["k"])
 
 
+def test_suffix_and_ids(spark):
+    df = spark.createDataFrame([(1, None), (1, ""), (2, "x")], "k int, v string")
+    assert R.with_suffix(df, "_l", ["k"]).columns == ["k", "v_l"]
+    with pytest.raises(ValueError):
+        R.with_suffix(df.withColumnRenamed("v", "v_l"), "_l")
+    ids = [r.i for r in df.select(R.hashed_id("x_", [F.col("k"), F.col("v")]).alias("i")).collect()]
+    assert len(set(ids)) == 3 and all(i.startswith("x_") and len(i) == 34 for i in ids)
+
+
 def test_samples_repeat(spark):
     df = spark.range(2000).withColumnRenamed("id", "k")
     a, b = R.hash_sample(df, "k", 0.1, 3), R.hash_sample(df.repartition(9), "k", 0.1, 3)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,4 +46,11 @@ def test_workflow(spark, sources, tmp_path):
     assert dead.count() > 0 and links.join(dead, "pik", "left_semi").isEmpty()
     assert got["by_pass"].agg(F.sum("n")).first()[0] == links.count()
     assert spark.read.parquet(f"{out}/census_2030_piked").count() == census(spark, D).count()
+    assert got["links"].first().n == links.count() and got["links"].first().lenient > 0.9
+    assert got["links_by_pass"].agg(F.sum("n")).first()[0] == links.count()
     assert {"identified", "possible", "duplicates", "missed"} <= set(got) and got["missed"].count() >= 0
+    # Complete and newer than what they were made from: nothing to do; without a mark of completion a stage runs again.
+    again = lambda: workflow.run_stages(spark, sources, files, out, {"Bill": "William"}, ["Unknown"], years=(2028, 2029), gq_least=2, training_pairs=50_000)
+    assert again() == []
+    os.remove(f"{out}/confirmed_piks/_SUCCESS")
+    assert again() == ["link"]
