@@ -377,13 +377,13 @@ def full_cascade(spark: SparkSession, d: str) -> DataFrame:
     raw = census(spark, d).drop("simulant_id")
     prepared = prep.prepare_input(raw, NICKNAMES, FAKE)
     quarters = prep.group_quarters(prepared, 2)
-    from .runtime import cut
+    from .runtime import stored
 
-    rows = cut(prep.finish_input(prepared, quarters))
+    rows = stored(prep.finish_input(prepared, quarters))
     piks = people(spark, d).withColumn("pik", F.concat(F.lit("pik"), F.col("k").cast("string")))
     as_ssa = piks.withColumn("date_of_birth", F.date_format(F.try_to_timestamp("date_of_birth", F.lit("M/d/yyyy")), "yyyyMMdd"))
-    geobase = cut(prep.prepare_geobase(prep.standardize_addresses(as_ssa), quarters))
-    name_dob = cut(prep.prepare_name_dob(as_ssa))
+    geobase = stored(prep.prepare_geobase(prep.standardize_addresses(as_ssa), quarters))
+    name_dob = stored(prep.prepare_name_dob(as_ssa))
     prior = model.estimate_prior(rows, geobase)
     trained = model.train(rows, geobase, model.COMPARISONS, [(("first_name_15", "zipcode"), ("first_name_15",)), (("geokey",), ("geokey",))], "record_id", "record_id", prior, pairs=200_000)
     links = cascade.run_cascade(rows, {"geobase": geobase, "name_dob": name_dob}, trained)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.relational import check_disjoint, concat, except_keys, unique_list, validated_join
-from ..runtime import cut
+from ..runtime import stored
 from ..sources.io import pairs_report
 from .model import Model, blocking_join, count_blocked_pairs, linked
 from .prep import NOT_SWITCHED, switch_names
@@ -93,7 +93,7 @@ def run_pass(reference: DataFrame, inputs: DataFrame, module: Module, p: Pass, m
     pairs = blocking_join(reference.select(columns), rows.select(*columns, "record_id_raw_input_file"), by, salts)
     scored = linked(pairs, model.only(module.matching), threshold - (BELOW if report else 0.0), module.bayes_factor)
     if report:
-        scored = cut(scored)
+        scored = stored(scored)
         pairs_report(scored, f"{report}/{module.name}__{p.name}".replace(" ", "_"))
         scored = scored.where(F.col("match_probability") >= threshold)
     return scored.select(
@@ -109,7 +109,7 @@ def run_module(reference: DataFrame, inputs: DataFrame, module: Module, model: M
         remaining = inputs
         if links:
             remaining = except_keys(inputs, concat(links).select(F.col("record_id_input").alias("record_id")), ["record_id"])
-        links.append(cut(run_pass(reference, remaining, module, p, model, threshold, report=report)))
+        links.append(stored(run_pass(reference, remaining, module, p, model, threshold, report=report)))
     return concat(links)
 
 
@@ -172,11 +172,11 @@ def run_cascade(
             if so_far is None:
                 continue
             everyone = with_household_ids(inputs)
-            reference = cut(household_reference(everyone, so_far, references["geobase"]))
+            reference = stored(household_reference(everyone, so_far, references["geobase"]))
             remaining = with_household_ids(remaining)
         links = run_module(reference, remaining, module, model, threshold, report)
         piks = reference.select(F.col("record_id").alias("record_id_reference"), "pik").distinct()
-        new = cut(confirm(links, piks, deaths))
+        new = stored(confirm(links, piks, deaths))
         if so_far is not None:
             check_disjoint(new, so_far, ["record_id_raw_input_file"])
         confirmed.append(new)

@@ -227,9 +227,9 @@ def combine(sessions: Sequence[Mapping[str, Mapping[int, float]]], comparisons:
 def train(inputs: DataFrame, reference: DataFrame, comparisons: Sequence[Comparison], sessions: Sequence[tuple[Sequence[str], Sequence[str]]], input_id: str, reference_id: str, prior: float, rows: int = 1_000_000, pairs: int = 10_000_000) -> Model:
     """u from random pairs, m from sessions, each (blocking columns, columns it leaves untrained), over samples of at most `rows` rows."""
     from ..operators.relational import capped_sample
-    from ..runtime import cut
+    from ..runtime import stored
 
-    a, b = cut(capped_sample(inputs, input_id, rows)), cut(capped_sample(reference, reference_id, rows))
+    a, b = stored(capped_sample(inputs, input_id, rows)), stored(capped_sample(reference, reference_id, rows))
     u = level_shares(training_pairs(b, a, reference_id, input_id, pairs), comparisons)
     trained = [train_session(blocking_join(b, a, by), comparisons, untrained, u, prior) for by, untrained in sessions]
     return Model(tuple(comparisons), combine(trained, comparisons), u, prior)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.noise import name_noise
 from ..functions.text import parse_date
 from ..operators.relational import add_record_ids, concat, strip_prefix
-from ..runtime import cut
+from ..runtime import stored
 from ..sources.io import read_parquet, write_parquet, write_with_truth
 from . import cascade, evaluate, lineage, model, prep, reference
 from .lineage import Lineaged
@@ -29,7 +29,7 @@ SESSIONS = ((("first_name_15", "zipcode"), ("first_name_15",)), (("geokey",), ("
 def _source(df: DataFrame, name: str, names: Sequence[str], seed: int, truncate: str | None = None) -> tuple[Lineaged, DataFrame]:
     """A source with ids, noise in its names, its own lineage, and its truth."""
     rows = name_noise(add_record_ids(df, name), names, seed, "record_id", truncate)
-    data, truth = lineage.split_truth(cut(rows))
+    data, truth = lineage.split_truth(stored(rows))
     return lineage.self_lineage(data), truth
 
 
@@ -47,9 +47,9 @@ def generate_files(spark: SparkSession, sources: str, out: str, years: Sequence[
     name_dob = reference.name_dob_file(names, births, reference.itin_names(individual))
     geobase = reference.geobase_file(name_dob, reference.tax_addresses([individual, employer], street_rule))
     files = dict(zip(REFERENCES, (reference.census_numident(ssa), names, births, name_dob, geobase), strict=True))
-    files = {k: Lineaged(cut(v.df), cut(v.pairs)) for k, v in files.items()}
+    files = {k: Lineaged(stored(v.df), stored(v.pairs)) for k, v in files.items()}
 
-    piks = cut(lineage.id_crosswalk([v.df for v in files.values()]))
+    piks = stored(lineage.id_crosswalk([v.df for v in files.values()]))
     frames = []
     for name, part in files.items():
         known = lineage.entities(part.pairs, truth)
@@ -66,12 +66,12 @@ def link(
 ) -> model.Model:
     """Writes confirmed_piks and census_2030_piked, and returns the trained model. With `report`, a folder, each pass's best pairs are written there."""
     raw = read_parquet(spark, f"{files}/simulated_census_2030")
-    prepared = cut(prep.prepare_input(raw, nicknames, fake_names, street_rule))
-    quarters = cut(prep.group_quarters(prepared, gq_least))
-    rows = cut(prep.finish_input(prepared, quarters))
+    prepared = stored(prep.prepare_input(raw, nicknames, fake_names, street_rule))
+    quarters = stored(prep.group_quarters(prepared, gq_least))
+    rows = stored(prep.finish_input(prepared, quarters))
     geobase = strip_prefix(read_parquet(spark, f"{files}/simulated_geobase_reference_file"), "mailing_address_")
-    geobase = cut(prep.prepare_geobase(geobase, quarters))
-    name_dob = cut(prep.prepare_name_dob(read_parquet(spark, f"{files}/simulated_name_dob_reference_file")))
+    geobase = stored(prep.prepare_geobase(geobase, quarters))
+    name_dob = stored(prep.prepare_name_dob(read_parquet(spark, f"{files}/simulated_name_dob_reference_file")))
     trained = model.train(rows, geobase, model.COMPARISONS, SESSIONS, "record_id", "record_id", model.estimate_prior(rows, geobase), training_rows, training_pairs)
     numident = read_parquet(spark, f"{files}/simulated_census_numident", columns=["pik", "date_of_death"])
     deaths = numident.select("pik", parse_date(F.col("date_of_death"), "yyyyMMdd").alias("date_of_death"))

@@ -12,6 +12,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_tables: dict[str, list[str]] = {}
 
 #: Rows and bytes of an Arrow batch between Spark and Python. Spark's own bounds (10,000 rows, 64 MB or more) are copied
 #: several times over on both sides, beyond the heap, in every task at once; whole texts need far smaller ones.
@@ -66,6 +67,22 @@ def written(df: DataFrame, path: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a table of their own in the shared folder, for results that are read again and again.
+
+    Unlike a checkpoint, a table has a known size, so joins with small ones need no shuffle, and its columns
+    are read as needed. Tables stay until clear() is called.
+    """
+    path = new_path(df.sparkSession, "table")
+    _tables.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    return written(df, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes this application's stored tables; results that still read them are no longer usable."""
+    removed(spark, *_tables.pop(spark.sparkContext.applicationId, []))
+
+
 def removed(spark: SparkSession, *paths: str) -> None:
     """Deletes folders in whatever file system they are."""
     for path in paths:
