@@ -25,10 +25,10 @@ from pyspark.sql import types as T
 
 from .common import map_texts, read_table
 
-#: Words kept with their ids, and the longest such word.
-CACHE_WORDS, CACHE_CHARS = 100_000, 48
+#: Words kept with their ids in each of two generations, and the longest such word.
+CACHE_WORDS, CACHE_CHARS = 200_000, 48
 #: Pairs of neighbours remembered.
-CACHE_PAIRS = 500_000
+CACHE_PAIRS = 1_000_000
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
@@ -38,16 +38,23 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class _Spaced(dict):
-    """Ids, as little-endian bytes, of words with a prefix; computed when first asked for."""
+    """Ids, as little-endian bytes, of words with a prefix; computed when first asked for.
+
+    When a generation of words is full the one before it is forgotten; what is asked for again moves on.
+    """
 
     def __init__(self, prefix: str, encode) -> None:
         super().__init__()
         self.prefix, self.encode = prefix, encode
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.encode(self.prefix + word)
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self.encode(self.prefix + word)
         if len(word) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:
+                self.before = dict(self)
                 self.clear()
             self[word] = ids
         return ids
