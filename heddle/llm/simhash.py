@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from ..runtime import new_path, written
+from ..runtime import new_path, removed, written
 from .common import cut, map_texts, read_table, ship, space_words
 from .graph import connected_components
 
 WORDS, SEED, RADIUS = 4, 42, 4
-#: Bit sets whose parities number the slices: 2 to the power of their number.
+#: Bit sets whose parities number the slices: 2 to the power of their number, of which a small table needs fewer.
 PARITIES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Fingerprints whose variants are emitted together, variants that one colliding task gets, and ranges at least.
 BLOCK, RANGE_VARIANTS, RANGES = 4096, 1_000_000, 32
@@ -138,11 +138,12 @@ def _collided(table: pa.Table, masks: np.ndarray, radius: int) -> pa.Table:
     return pa.table({"a": pa.array(a[fresh]), "b": pa.array(b[fresh])})
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, parities: tuple[int, ...] = PARITIES) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, parities: tuple[int, ...] | None = None, folder: str | None = None) -> DataFrame:
     """Edges (a, b) between distinct fingerprints `fp`, connecting exactly what links within `radius` bits connect.
 
     Not every link has an edge of its own: a star stands for the links among the fingerprints that share
-    a variant. Of an odd radius, balls could only meet beyond it, so such a radius is refused.
+    a variant. Of an odd radius, balls could only meet beyond it, so such a radius is refused. The edges
+    are read from tables in `folder`, which the caller may delete when it has used them.
     """
     if radius not in (0, 2, 4):
         raise ValueError("balls are built for radius 0, 2 and 4")
@@ -150,10 +151,13 @@ def links(distinct: DataFrame, radius: int = RADIUS, parities: tuple[int, ...] =
     ship(spark)
     masks = _masks(radius // 2)
     size = distinct.count()
+    if parities is None:
+        # Beyond a slice of this size only; it changes how many shuffles there are, not what meets in them.
+        parities = PARITIES[: (max(1, -(-size * len(masks) // (RANGE_VARIANTS * RANGES))) - 1).bit_length()]
     bits = (max(-(-size * len(masks) // (RANGE_VARIANTS << len(parities))), RANGES) - 1).bit_length()
     # A few numbers a row: dealt out evenly, so that a task emits about a block.
     spread = cut(distinct.select("fp").repartition(max(1, -(-size // BLOCK))))
-    folder = new_path(spark, "balls")
+    folder = folder or new_path(spark, "balls")
     paths = []
     for number in range(1 << len(parities)):
         packed = _emitted(spread, masks, parities, number, bits)
@@ -180,7 +184,10 @@ def _grouped(docs: DataFrame, key: str, text: str, words: int = WORDS, radius: i
     own = docs.select(F.col(f"`{key}`").alias("k"), F.xxhash64(body, body.isNull()).alias("h"), body.alias("t"))
     prints = cut(fingerprints(own, ["k", "h"], "t", words))
     distinct = cut(prints.groupBy("fp").agg(F.min("k").alias("rep")))
-    members = connected_components(links(distinct, radius)).withColumnsRenamed({"node": "fp"})
+    folder = new_path(docs.sparkSession, "balls")
+    members = connected_components(links(distinct, radius, folder=folder)).withColumnsRenamed({"node": "fp"})
+    # The components stand in checkpoints of their own by now.
+    removed(docs.sparkSession, folder)
     named = distinct.join(members, "fp")
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     found = named.join(smallest, "component").select("fp", "component", "component_id")
