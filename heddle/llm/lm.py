@@ -324,7 +324,8 @@ def score_documents(
     A null text counts as empty: one token, the end. A null key is not held out and is learned from.
     Rows that repeat count and are scored each for itself. Without training rows no token is known and
     scores are those of the one unknown class. `key` is an integer column; other columns may have any
-    name. The rows are written to the shared folder and stay there; working tables are deleted.
+    name. The rows are written to the shared folder and stay there; working tables are deleted, after a
+    failure too.
     """
     if order < 2 or strength <= 0:
         raise ValueError("n-grams have two words or more and the shorter history has a weight")
@@ -333,7 +334,22 @@ def score_documents(
     body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
     held = F.coalesce(crc_bucket(F.col(f"`{key}`"), 7) == 2, F.lit(False))
     folder = new_path(spark, "lm")
-    chunks = written(_chunks(docs.select(F.col(f"`{key}`").cast("bigint").alias("k"), held.alias("held"), body.alias("body")), chunk_tokens), f"{folder}/chunks", compression="zstd")
+    try:
+        taught = _score(docs.select(F.col(f"`{key}`").cast("bigint").alias("k"), held.alias("held"), body.alias("body")), folder, order, strength, chunk_tokens)
+    except BaseException:
+        removed(spark, folder)
+        raise
+    out = spark.read.schema(SCORES).parquet(f"{folder}/scores")
+    return out.select(F.col("k").alias(key), "held_out", "n_tokens", "n_known", F.lit(taught).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
+SCORES = "k bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+
+
+def _score(rows: DataFrame, folder: str, order: int, strength: float, chunk_tokens: int) -> int:
+    """Writes the scores of rows (k, held, body) into the folder and returns the number of training tokens."""
+    spark = rows.sparkSession
+    chunks = written(_chunks(rows, chunk_tokens), f"{folder}/chunks", compression="zstd")
     tokens = chunks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda s, x: s + x))).first()[0] or 0
     bits = (max(-(-tokens * 12 // RANGE_BYTES), RANGES) - 1).bit_length()
 
@@ -393,10 +409,9 @@ def score_documents(
         columns = [row["keys"], row["held"], row["sizes"], known, base, np.add.reduceat(np.log10(p), starts)]
         return pa.table([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=names)
 
-    scored = beside(told).applyInArrow(score, "k bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
-    out = written(scored, f"{folder}/scores")
+    written(beside(told).applyInArrow(score, SCORES), f"{folder}/scores")
     removed(spark, f"{folder}/chunks", *[f"{folder}/told-{n}-{part}" for n in range(2, order + 1) for part in range(SLICES)])
-    return out.select(F.col("k").alias(key), "held_out", "n_tokens", "n_known", F.lit(taught).cast("bigint").alias("train_tokens"), "base_score", "score")
+    return taught
 
 
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
