@@ -266,14 +266,14 @@ def _bits(model: Model, c: Comparison) -> dict[int, float]:
 
 def most_weight(model: Model, bayes_factor: float = 1.0, left: str = "_l", right: str = "_r") -> Column:
     """The weight that a pair reaches at most, from what is known without comparing unequal strings."""
-    weight = F.lit(math.log2(to_odds(model.prior) * bayes_factor))
+    parts = [f"{math.log2(to_odds(model.prior) * bayes_factor)!r}D"]
     for c in model.comparisons:
-        bits, l, r = _bits(model, c), F.col(c.column + left), F.col(c.column + right)
-        rest = max(v for k, v in bits.items() if k != EXACT)
+        bits, l, r = _bits(model, c), f"`{c.column}{left}`", f"`{c.column}{right}`"
+        rest = f"{max(v for k, v in bits.items() if k != EXACT)!r}D"
         if c.kind == "numeric":
-            rest = F.when(F.abs(l - r) <= c.threshold, bits[CLOSE]).otherwise(bits[ELSE])
-        weight = weight + F.when(l.isNull() | r.isNull(), 0.0).when(l == r, bits[EXACT]).otherwise(rest)
-    return weight
+            rest = f"case when abs({l} - {r}) <= {c.threshold} then {bits[CLOSE]!r}D else {bits[ELSE]!r}D end"
+        parts.append(f"case when {l} is null or {r} is null then 0.0D when {l} = {r} then {bits[EXACT]!r}D else {rest} end")
+    return F.expr(" + ".join(parts))
 
 
 def linked(pairs: DataFrame, model: Model, threshold: float, bayes_factor: float = 1.0) -> DataFrame:
@@ -287,10 +287,7 @@ def linked(pairs: DataFrame, model: Model, threshold: float, bayes_factor: float
 def score(pairs: DataFrame, model: Model, bayes_factor: float = 1.0, gammas: bool = True) -> DataFrame:
     """Adds match_weight (log2 odds) and match_probability. A null level says nothing; `bayes_factor` is what belonging to a cut says."""
     g = with_gammas(pairs, model.comparisons) if gammas else pairs
-    weight = F.lit(math.log2(to_odds(model.prior) * bayes_factor))
+    parts = [f"{math.log2(to_odds(model.prior) * bayes_factor)!r}D"]
     for c in model.comparisons:
-        part = F.lit(0.0)
-        for k, bits in _bits(model, c).items():
-            part = F.when(F.col(f"gamma_{c.column}") == k, bits).otherwise(part)
-        weight = weight + part
-    return g.withColumn("match_weight", weight).withColumn("match_probability", 1 / (1 + F.pow(F.lit(2.0), -F.col("match_weight"))))
+        parts.append(f"case `gamma_{c.column}` {' '.join(f'when {k} then {bits!r}D' for k, bits in _bits(model, c).items())} else 0.0D end")
+    return g.withColumn("match_weight", F.expr(" + ".join(parts))).withColumn("match_probability", 1 / (1 + F.pow(F.lit(2.0), -F.col("match_weight"))))
