@@ -12,6 +12,7 @@ from .functions.text import parse_date
 from .operators import relational as R
 from .plans import lineage, reference
 from .plans.lineage import Lineaged
+from .sources import simulate
 from .sources.io import read_parquet, table
 
 # Sources and sets
@@ -340,3 +341,30 @@ def noise_truncate(spark: SparkSession, d: str) -> DataFrame:
 
     rows = people(spark, d).select("record_id", "last_name")
     return truncate_column(rows, "last_name", 0.4, 4, 7, "record_id").withColumn("u", F.round(uniform(F.col("record_id"), 7, 0), 9))
+
+
+# Simulated sources
+
+
+def _pick(values: tuple[str, ...], u: str) -> str:
+    return f"list_extract([{', '.join(repr(v) for v in values)}], cast(floor({u} * {len(values)}) as int) + 1)"
+
+
+def _people_sql(n: int, seed: int) -> str:
+    own = lambda k: _U.format(id="i", seed=seed, k=k)
+    return f"""
+select i as simulant_id, i // 3 as household, {_pick(simulate.FIRST, own(0))} as first_name, {_pick(simulate.FIRST, own(1))} as middle_name, {_pick(simulate.LAST, _U.format(id='(i // 3)', seed=seed, k=2))} as last_name,
+  date '1930-01-01' + cast(floor({own(3)} * 33000) as int) as birth, case when {own(4)} < {simulate.NUMBERED} then '1' else '9' end || lpad(cast(i as varchar), 8, '0') as ssn from range({n}) t(i)"""
+
+
+@query(f"with p as ({_people_sql(3000, 7)}) select simulant_id, household, first_name, middle_name, last_name, cast(birth as date) as birth, ssn from p")
+def simulated_people(spark: SparkSession, d: str) -> DataFrame:
+    return simulate.population(spark, 3000, 7)
+
+
+@query(f"""
+with p as ({_people_sql(3000, 7)}), e as (select *, cast(birth as date) + cast(floor(28000 + {_U.format(id='simulant_id', seed=7, k=60)} * 9000) as int) as died from p where ssn not like '9%')
+select simulant_id, ssn, first_name, middle_name, last_name, strftime(birth, '%Y%m%d') as date_of_birth, 'creation' as event_type, strftime(birth, '%Y%m%d') as event_date from e
+union all select simulant_id, ssn, first_name, middle_name, last_name, strftime(birth, '%Y%m%d'), 'death', strftime(died, '%Y%m%d') from e where year(died) <= 2029 and {_U.format(id='simulant_id', seed=7, k=61)} < 0.3""")
+def simulated_events(spark: SparkSession, d: str) -> DataFrame:
+    return simulate.social_security(simulate.population(spark, 3000, 7), 2029, 7)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from heddle.operators import relational as R
 from heddle.plans import lineage, reference
 from heddle.plans.lineage import Lineaged
-from heddle.sources import config, io
+from heddle.sources import config, io, simulate
 
 
 def rows(df):
@@ -122,3 +122,24 @@ def test_config():
     assert config.megabytes("15 GB") == 15_000 and config.megabytes("512MB") == 512
     with pytest.raises(ValueError):
         config.seconds("ten")
+
+
+def test_simulated_sources(spark, tmp_path):
+    """Files of the shape the workflow reads, the same however they are made; noise at its rates, and more where it is raised."""
+    simulate.write_sources(spark, str(tmp_path), 1500, (2028,), seed=3)
+    read = lambda n: spark.read.parquet(f"{tmp_path}/{n}.parquet")
+    counted, filed, events = read("simulated_census_2030"), read("simulated_taxes_1040_2028"), read("simulated_ssa_numident")
+    assert {"simulant_id", "first_name", "middle_initial", "last_name", "date_of_birth", "street_number", "zipcode", "housing_type"} <= set(counted.columns)
+    assert counted.count() > 1300 and 700 < filed.count() < 1300 and events.where("event_type = 'death'").count() > 10
+    assert filed.select("simulant_id").distinct().count() == filed.count()
+    people = simulate.population(spark, 1500, 3)
+    again = simulate.census(people.repartition(13), 2030, seed=3)
+    assert again.exceptAll(counted).isEmpty() and again.count() == counted.count()
+    clean = simulate.census(people, 2030, {}, 3)
+    differ = lambda df, c: df.select("simulant_id", F.col(c).alias("x")).join(clean.select("simulant_id", c), "simulant_id").where(f"x is null or x <> {c}").count()
+    loud = simulate.census(people, 2030, simulate.noisier(simulate.NOISE, {"typo": 0.3, "wrong_digit": 0.001}), 3)
+    assert 20 < differ(counted, "last_name") < 90 and differ(loud, "last_name") > 300
+    assert differ(loud, "date_of_birth") == differ(counted, "date_of_birth") > 10
+    assert loud.where("length(date_of_birth) <> 10").isEmpty()
+    moved = simulate.with_address(people, 2029, seed=3).join(simulate.with_address(people, 2030, seed=3).select("simulant_id", F.col("street_number").alias("later")), "simulant_id").where("street_number <> later").count()
+    assert 40 < moved < 220
