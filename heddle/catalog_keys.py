@@ -194,18 +194,17 @@ EQ = "case when {l} is null or {r} is null then -1 when {l} = {r} then 2 else 0
 
 @query(f"with {PAIRS} select {JW.format(l='fa', r='fb', t='750/900.0')} as g_first, {JW.format(l='la', r='lb', t='750/900.0')} as g_last, count(*) as n from x group by 1, 2")
 def jaro_winkler_levels(spark: SparkSession, d: str) -> DataFrame:
-    from .plans.model import Comparison, gamma
+    from .plans.model import Comparison, with_gammas
 
-    rows = _zip_pairs(spark, d)
-    level = lambda l, r: gamma(Comparison(l, "jaro_winkler", 750 / 900), F.col(l), F.col(r))
-    return rows.select(level("fa", "fb").alias("g_first"), level("la", "lb").alias("g_last")).groupBy("g_first", "g_last").agg(F.count("*").alias("n"))
+    levels = with_gammas(_zip_pairs(spark, d), [Comparison(c, "jaro_winkler", 750 / 900) for c in ("f", "l")], "a", "b")
+    return levels.groupBy(F.col("gamma_f").alias("g_first"), F.col("gamma_l").alias("g_last")).agg(F.count("*").alias("n"))
 
 
 @query(f"with x as (select a.p_partkey as a, b.p_partkey as b, case when a.p_partkey % 9 = 0 then null else a.p_size end as sa, b.p_size as sb from part a join part b on a.p_brand = b.p_brand and a.p_type = b.p_type) select a, b, {NUM.format(l='sa', r='sb', t=5)} as g from x")
 def numeric_levels(spark: SparkSession, d: str) -> DataFrame:
-    from .plans.model import Comparison, gamma
+    from .plans.model import Comparison, with_gammas
 
     part = table(spark, d, "part")
     a = part.select(F.col("p_partkey").alias("a"), "p_brand", "p_type", F.when(F.col("p_partkey") % 9 != 0, F.col("p_size")).alias("sa"))
     b = part.select(F.col("p_partkey").alias("b"), "p_brand", "p_type", F.col("p_size").alias("sb"))
-    return a.join(b, ["p_brand", "p_type"]).select("a", "b", gamma(Comparison("size", "numeric", 5), F.col("sa"), F.col("sb")).alias("g"))
+    return with_gammas(a.join(b, ["p_brand", "p_type"]), [Comparison("s", "numeric", 5)], "a", "b").select("a", "b", F.col("gamma_s").alias("g"))

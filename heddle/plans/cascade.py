@@ -96,10 +96,8 @@ def run_pass(reference: DataFrame, inputs: DataFrame, module: Module, p: Pass, m
         scored = stored(scored)
         pairs_report(scored, f"{report}/{module.name}__{p.name}".replace(" ", "_"))
         scored = scored.where(F.col("match_probability") >= threshold)
-    return scored.select(
-        F.col("record_id_raw_input_file_r").alias("record_id_raw_input_file"), F.col("record_id_r").alias("record_id_input"), F.col("record_id_l").alias("record_id_reference"),
-        "match_probability", F.lit(module.name).alias("module_name"), F.lit(p.name).alias("pass_name"),
-    )
+    told = scored.selectExpr("record_id_raw_input_file_r as record_id_raw_input_file", "record_id_r as record_id_input", "record_id_l as record_id_reference", "match_probability")
+    return told.withColumns({"module_name": F.lit(module.name), "pass_name": F.lit(p.name)})
 
 
 def run_module(reference: DataFrame, inputs: DataFrame, module: Module, model: Model, threshold: float = THRESHOLD, report: str | None = None) -> DataFrame:

@@ -74,21 +74,24 @@ class Model:
 # Levels
 
 
-def gamma(c: Comparison, left: Column, right: Column) -> Column:
-    if c.kind == "numeric":
-        close = F.abs(left - right) <= c.threshold
-    elif c.kind == "jaro_winkler":
-        # Spark runs the function below the CASE, for every row; null inputs cost nothing.
-        differ = left != right
-        close = jaro_winkler(F.when(differ, left), F.when(differ, right)) >= c.threshold
-    else:
-        close = F.lit(False)
-    return F.when(left.isNull() | right.isNull(), NULL).when(left == right, EXACT).when(close, CLOSE).otherwise(ELSE)
-
-
 def with_gammas(pairs: DataFrame, comparisons: Sequence[Comparison], left: str = "_l", right: str = "_r") -> DataFrame:
     """Adds gamma_<column> for every comparison of <column><left> with <column><right>."""
-    return pairs.withColumns({f"gamma_{c.column}": gamma(c, F.col(c.column + left), F.col(c.column + right)) for c in comparisons})
+    close, kept = {}, pairs.columns
+    for c in comparisons:
+        l, r = f"`{c.column}{left}`", f"`{c.column}{right}`"
+        if c.kind == "jaro_winkler":
+            # Spark runs the function for every row, whatever stands around it; null inputs cost nothing.
+            close[f"_close_{c.column}"] = jaro_winkler(F.expr(f"case when {l} <> {r} then {l} end"), F.expr(f"case when {l} <> {r} then {r} end"))
+    if close:
+        pairs = pairs.withColumns(close)
+    level = {"jaro_winkler": "`_close_{c}` >= {t!r}D", "numeric": "abs({l} - {r}) <= {t!r}D", "exact": "false"}
+    gammas = []
+    for c in comparisons:
+        l, r = f"`{c.column}{left}`", f"`{c.column}{right}`"
+        near = level[c.kind].format(c=c.column, l=l, r=r, t=float(c.threshold or 0))
+        gammas.append(f"case when {l} is null or {r} is null then {NULL} when {l} = {r} then {EXACT} when {near} then {CLOSE} else {ELSE} end as `gamma_{c.column}`")
+    # Expressions as text are one call to Spark each.
+    return pairs.selectExpr(*[f"`{c}`" for c in kept], *gammas)
 
 
 # Prior
@@ -244,8 +247,8 @@ def blocking_join(reference: DataFrame, inputs: DataFrame, by: Sequence[str], sa
     With salts, input rows spread over so many copies of the reference rows, so that a block with many
     rows is many tasks; adaptive execution splits large blocks without that, too.
     """
-    l = reference.select(*[F.col(c).alias(f"{c}_l") for c in (columns or reference.columns)], *[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)])
-    r = inputs.select(*[F.col(c).alias(f"{c}_r") for c in (columns or inputs.columns)], *[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)])
+    side = lambda df, s: df.selectExpr(*[f"`{c}` as `{c}_{s}`" for c in (columns or df.columns)], *[f"`{c}` as `_b{i}`" for i, c in enumerate(by)])
+    l, r = side(reference, "l"), side(inputs, "r")
     on = [f"_b{i}" for i in range(len(by))]
     if salts > 1:
         l = l.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

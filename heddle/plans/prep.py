@@ -79,8 +79,9 @@ def add_prefixes(df: DataFrame) -> DataFrame:
 
 def switch_names(df: DataFrame) -> DataFrame:
     """First and last name change places and their prefixes follow; phonetic keys and cuts don't, so passes that switch must not use them."""
-    swapped = df.withColumns({"first_name": F.col("last_name"), "last_name": F.col("first_name")})
-    return swapped.withColumns({out: prefix(F.col(c), k) for c, outs in PREFIXES.items() for out, k in outs.items()})
+    other = {"first_name": "last_name", "last_name": "first_name"}
+    new = other | {out: f"substring({other[c]}, 1, {k})" for c, outs in PREFIXES.items() for out, k in outs.items()}
+    return df.selectExpr(*[f"{new[c]} as `{c}`" if c in new else f"`{c}`" for c in df.columns])
 
 
 #: Columns that a name switch leaves as they were.
