@@ -26,9 +26,9 @@ from pyspark.sql import types as T
 from .common import map_texts, read_table
 
 #: Words kept with their ids in each of two generations, and the longest such word.
-CACHE_WORDS, CACHE_CHARS = 200_000, 48
+CACHE_WORDS, CACHE_CHARS = 125_000, 48
 #: Pairs of neighbours remembered.
-CACHE_PAIRS = 1_000_000
+CACHE_PAIRS = 500_000
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
@@ -179,7 +179,9 @@ class BytePairCodec:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+        found = self.find(text)
+        # What is one piece is remembered by the caller already.
+        return self._ids(found[0]) if len(found) == 1 else b"".join(map(self.pieces.__getitem__, found))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers.

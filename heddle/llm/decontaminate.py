@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import new_path, written
-from .common import alnum_words, free_names, read_table, ship
+from .common import alnum_words, free_names, read_table, released, ship
 
 WINDOW = 10
 #: Bytes of normalised items in one block, so in one automaton and one broadcast.
@@ -222,7 +222,7 @@ def _scan(shared, window: int, final: bool):
             else:
                 yield pa.RecordBatch.from_arrays([*kept, bodies, pa.array(found, pa.binary())], names=batch.schema.names)
 
-    return run
+    return released(run)
 
 
 NOTHING = hashlib.sha256(b"").hexdigest()

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_bucket, map_texts, read_table
+from .common import crc_bucket, map_texts, read_table, released
 
 #: Rows that the classifier is fitted on at most. Half of them are dealt to the languages evenly, so a rare
 #: language is learned whatever its share of the corpus.
@@ -160,7 +160,7 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
         sample = [(name.as_py(), _unpacked(f.as_py())) for b in batches for name, f in zip(b.column(0), b.column(1), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(sample))], pa.binary())], names=["model"])
 
-    found = _sample(labelled, key, text, lang, rows).mapInArrow(run, "model binary").collect()
+    found = _sample(labelled, key, text, lang, rows).mapInArrow(released(run), "model binary").collect()
     # An empty sample may have no task at all.
     return pickle.loads(found[0].model) if found else fit([])
 

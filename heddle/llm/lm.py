@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from ..runtime import new_path, removed, written
-from .common import crc_bucket, read_table, ship, space_words
+from .common import crc_bucket, read_table, released, ship, space_words
 
 ORDER = 3
 #: Weight of the shorter history, in tokens; held-out texts score best near it.
@@ -194,7 +194,7 @@ def _chunks(rows: DataFrame, chunk_tokens: int) -> DataFrame:
         if tokens:
             yield chunk()
 
-    return rows.mapInArrow(run, CHUNK)
+    return rows.mapInArrow(released(run), CHUNK)
 
 
 @dataclass
@@ -362,7 +362,7 @@ def _score(rows: DataFrame, folder: str, order: int, strength: float, chunk_toke
                     yield from _asked(1, words, chunk.number, bits, part).to_batches()
                     yield from _asked(2, chunk.level(2, words), chunk.number, bits, part).to_batches()
 
-        return run
+        return released(run)
 
     def ask(n: int, part: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         def run(left: pa.Table, right: pa.Table) -> pa.Table:

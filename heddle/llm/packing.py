@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import new_path, written
 from .bpe import parse_ranks, shared_codec
-from .common import read_table, ship
+from .common import read_table, released, ship
 
 #: Tokens in a row, and tokens that are packed together. A block's last rows alone have room to spare.
 ROW_TOKENS, BLOCK_TOKENS = 2048, 4_000_000
@@ -155,7 +155,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", row_tokens: i
         if block:
             yield from packed(block)
 
-    return docs.select(F.col(f"`{key}`").cast("bigint"), F.col(f"`{text}`").cast("binary")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(f"`{key}`").cast("bigint"), F.col(f"`{text}`").cast("binary")).mapInArrow(released(run), SCHEMA)
 
 
 def write_packed(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

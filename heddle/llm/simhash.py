@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from ..runtime import new_path, removed, written
-from .common import cut, map_texts, read_table, ship, space_words
+from .common import cut, map_texts, read_table, released, ship, space_words
 from .graph import connected_components
 
 WORDS, SEED, RADIUS = 4, 42, 4
@@ -113,7 +113,7 @@ def _emitted(distinct: DataFrame, masks: np.ndarray, parities: tuple[int, ...],
         if len(held):
             yield packed(held)
 
-    return distinct.mapInArrow(run, PACKED)
+    return distinct.mapInArrow(released(run), PACKED)
 
 
 def _collided(table: pa.Table, masks: np.ndarray, radius: int) -> pa.Table:
