@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.relational import histogram_of_counts, repeated_keys
@@ -12,6 +12,11 @@ PUBLISHED_ACCURACY = 1 - 281_868 / 157_279_733
 PUBLISHED_SHARE = 0.9028
 
 
+def _ratio(part: Column, whole: Column) -> Column:
+    """part / whole of two counts, with the floating-point results where whole is 0: NaN for 0 / 0, else infinity."""
+    return F.when(whole != 0, part / whole).when(part == 0, float("nan")).otherwise(float("inf"))
+
+
 def identified_share(piked: DataFrame) -> DataFrame:
     return piked.agg(F.avg(F.col("pik").isNotNull().cast("int")).alias("identified"))
 
@@ -31,7 +36,7 @@ def possible(piked: DataFrame, truth: DataFrame, reference_entities: DataFrame)
     rows = piked.join(truth, "record_id").join(known, "simulant_id", "left")
     return rows.agg(
         F.count("*").alias("n_rows"), F.count("_in").alias("n_possible"), F.avg(F.col("_in").isNotNull().cast("int")).alias("possible"),
-        (F.count("pik") / F.count("_in")).alias("ids_per_possible"),
+        _ratio(F.count("pik"), F.count("_in")).alias("ids_per_possible"),
     )
 
 
@@ -65,7 +70,7 @@ def accuracy(assigned: DataFrame, truth: DataFrame, pairs: DataFrame, key: str =
     return _judged(assigned, truth, pairs, key).agg(
         F.count("*").alias("n"),
         F.avg(F.col("right").cast("int")).alias("strict"),
-        (F.count_if("right") / F.count_if(F.col("n_entities") == 1)).alias("certain"),
+        _ratio(F.count_if("right"), F.count_if(F.col("n_entities") == 1)).alias("certain"),
         F.avg(F.col("any_right").cast("int")).alias("lenient"),
     )
 
