@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from heddle import catalog, runtime
 from heddle.functions import similarity
 from heddle.plans import evaluate, model
 from heddle.plans.model import Comparison
@@ -61,3 +62,17 @@ def test_similarities_are_remembered_without_bounds_being_passed(monkeypatch):
             got = similarity._similarities(pa.array([a for a, _ in some] + [None]), pa.array([b for _, b in some] + ["a"])).to_pylist()
             assert got.pop() is None and got == pytest.approx([similarity._long(*p) for p in some], abs=1e-12)
             assert len(known) <= 50 and all(len(x) < similarity.SHORT for p in known for x in p)
+
+
+def test_preparation_is_dealt_out(spark, monkeypatch):
+    """A small file comes in one partition; what is prepared from it must not stay in one task."""
+    seen = []
+
+    def first(df):
+        seen.append(df.rdd.getNumPartitions())
+        raise RuntimeError("seen")
+
+    monkeypatch.setattr(runtime, "stored", first)
+    with pytest.raises(RuntimeError, match="seen"):
+        catalog.queries()["full_cascade"](spark, "/root/testdata/sf0.001")
+    assert seen[0] >= spark.sparkContext.defaultParallelism
