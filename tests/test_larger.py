@@ -76,3 +76,10 @@ def test_preparation_is_dealt_out(spark, monkeypatch):
     with pytest.raises(RuntimeError, match="seen"):
         catalog.queries()["full_cascade"](spark, "/root/testdata/sf0.001")
     assert seen[0] >= spark.sparkContext.defaultParallelism
+
+
+def test_pairs_of_few_rows_are_dealt_out(spark):
+    """The pairs of a small file's rows aren't all made in one task, and every one is there."""
+    got = catalog.queries()["numeric_levels"](spark, "/root/testdata/sf0.01")
+    by_task = got.groupBy(F.spark_partition_id()).count().collect()
+    assert len(by_task) > spark.sparkContext.defaultParallelism and sum(r["count"] for r in by_task) == 28_982
